@@ -24,7 +24,7 @@ MAX_LABELLED = 4096
 #: A word is a feature if it stands in so many of these rows and its rate differs by so many deviations.
 MIN_ROWS, MIN_DEVIATIONS, MAX_FEATURES = 8, 4.0, 4096
 GRADES = 3
-L2, STEPS, RATE = 1e-5, 600, 0.1
+L2, STEPS, RATE = 3e-5, 600, 0.1
 #: Beside the words themselves, their beginnings of these lengths are features.
 STEMS = (4, 6, 8)
 #: A document is called toxic if P(grade >= 1) is at least this.
