@@ -19,7 +19,7 @@ WEIGHTS = (5, 2, 1)
 BUDGET_SHARE = 1.5
 MAX_REPEATS = 2
 #: The hash has LEVELS x LEVEL_BITS bits; each level splits the boundary bucket by LEVEL_BITS more.
-LEVELS, LEVEL_BITS = 4, 15
+LEVELS, LEVEL_BITS = 5, 12
 
 
 def hash_of(key: Column) -> Column:
