@@ -99,6 +99,13 @@ def write(payload: bytes) -> bytes:
     return b"".join([tag, xing, *body, b"TAG" + b"document".ljust(ID3V1 - 3, b"\0")])
 
 
+def checksum_holds(media: bytes, at: int, found: tuple) -> bool | None:
+    """Whether a Layer III frame's checksum is right; None if it has none."""
+    if not (found[6] and found[1] == 3):
+        return None
+    return crc16(media[at + 2 : at + 4] + media[at + 6 : at + 6 + found[5]]) == int.from_bytes(media[at + 4 : at + 6], "big")
+
+
 def read_media(media: bytes) -> dict:
     """What the reader finds: payload (the last 576 bytes of each large enough frame), offsets of the
     frames, samples and rate, microseconds, resyncs, skipped bytes, failed checksums, tags and table."""
@@ -118,9 +125,10 @@ def read_media(media: bytes) -> dict:
         found = header(media[at : at + 4])
         end = at + found[4] if found else 0
         good = found is not None and end <= stop
-        if good and not follows and end + 4 <= stop:  # a frame after a gap must be followed by one of its kind
+        if good and end + 4 <= stop:  # the next header vouches for a frame, or else its own checksum does, right behind another
             after = header(media[end : end + 4])
-            good = after is not None and after[:3] == found[:3]
+            vouched = after is not None and after[:3] == found[:3]
+            good = vouched or follows and checksum_holds(media, at, found) is True
         if good and rate and found[2] != rate:
             good = False
         if not good:
@@ -130,7 +138,7 @@ def read_media(media: bytes) -> dict:
             resyncs += follows or not offsets and at == start
             at, follows = after, False
             continue
-        _, layer, rate, in_frame, length, side, protected = found
+        _, layer, rate, in_frame, length, side, _ = found
         follows = True
         if not offsets and table is None and layer == 3:
             mark = at + 4 + side
@@ -139,9 +147,9 @@ def read_media(media: bytes) -> dict:
                 table = (n, size, media[mark + 16 : mark + 116], at) if flags & 7 == 7 else (0, 0, b"", at)
                 at = end
                 continue
-        if protected and layer == 3:
+        if (holds := checksum_holds(media, at, found)) is not None:
             checked += 1
-            failed += crc16(media[at + 2 : at + 4] + media[at + 6 : at + 6 + side]) != int.from_bytes(media[at + 4 : at + 6], "big")
+            failed += not holds
         offsets.append(at)
         samples += in_frame
         bits += length * 8
