@@ -34,7 +34,7 @@ def quality_sql() -> str:
     both = q.CLASSES + q.BINS
     return rf"""
 WITH a AS (
-  SELECT doc_id, coalesce(text, '') AS t, {SQL_WORDS} AS w, CASE WHEN lang IN ({languages}) THEN lang ELSE '' END AS language
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, {SQL_WORDS} AS w, CASE WHEN lang IN ({languages}) THEN lang ELSE '' END AS language
   FROM documents
 ), b AS (
   SELECT *, CASE language {lists} END AS list,
@@ -42,16 +42,16 @@ WITH a AS (
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM a
 ), r0 AS (
-  SELECT doc_id, unnest(g) AS gram, unnest(range(1, len(g) + 1)) AS i FROM b
+  SELECT k, unnest(g) AS gram, unnest(range(1, len(g) + 1)) AS i FROM b
 ), r1 AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM r0
+  SELECT k, i, count(*) OVER (PARTITION BY k, gram) AS n FROM r0
 ), r2 AS (
-  SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r1 WHERE n > 1) GROUP BY doc_id
+  SELECT k, count(DISTINCT j) AS n_repeat_words FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM r1 WHERE n > 1) GROUP BY k
 ), c AS (
   SELECT b.doc_id, language, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint AS word_chars, length(t) AS n_chars_text,
     len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '[0-9.,;:!?''"()/-]')) AS n_mark, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, {commons}
-  FROM b LEFT JOIN r2 ON b.doc_id IS NOT DISTINCT FROM r2.doc_id
+  FROM b LEFT JOIN r2 USING (k)
 ), d AS (
   SELECT *, n_chars_text - word_chars AS n_space, word_chars - n_upper - n_mark - n_symbols AS n_other,
     n_words - ({" + ".join(f"c{i}" for i in range(q.N_COMMON))}) AS c_rest,
