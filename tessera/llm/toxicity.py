@@ -2,7 +2,8 @@
 
 Grades 0, 1, 2 come from the labels: 0 not toxic, 1 toxic, 2 toxic and of low quality. The model has
 one weight per word, shared by all thresholds: P(grade <= k) = sigmoid(threshold_k - weights . words),
-with thresholds in ascending order. The words of a document count once each. It is fitted on a bounded
+with thresholds in ascending order. The words of a document count once each, and no weight is negative, so
+a text never gets milder by more words. It is fitted on a bounded
 sample of labelled rows and applied to every document.
 """
 
@@ -21,14 +22,14 @@ from .shared import ship
 
 #: Labelled rows that the model is fitted on at most: those with the smallest hashes of doc_id.
 MAX_LABELLED = 4096
-#: A word is a feature if it stands in so many of these rows and its rate differs by so many deviations.
+#: A word is a feature if it stands in so many of these rows and its rate in toxic rows is higher by so many deviations.
 MIN_ROWS, MIN_DEVIATIONS, MAX_FEATURES = 8, 4.0, 4096
 GRADES = 3
 L2, STEPS, RATE = 3e-5, 600, 0.1
 #: Beside the words themselves, their beginnings of these lengths are features.
 STEMS = (4, 6, 8)
 #: A document is called toxic if P(grade >= 1) is at least this.
-TOXIC_FROM = 0.5
+TOXIC_FROM = 0.25
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -79,7 +80,7 @@ def fit(rows: list[tuple[int, set[str]]]) -> Ordinal:
     for w, c in every.items():
         if c >= MIN_ROWS:
             a, b, p = toxic[w] / t, (c - toxic[w]) / (n - t), c / n
-            z = abs(a - b) / max(1e-9, (p * (1 - p) * (1 / t + 1 / (n - t))) ** 0.5)
+            z = (a - b) / max(1e-9, (p * (1 - p) * (1 / t + 1 / (n - t))) ** 0.5)
             if z >= MIN_DEVIATIONS:
                 scored.append((-z, w))
     chosen = {w: i for i, (_, w) in enumerate(sorted(scored)[:MAX_FEATURES])}
@@ -105,7 +106,7 @@ def fit(rows: list[tuple[int, set[str]]]) -> Ordinal:
         ])
         state = [0.9 * state[0] + 0.1 * gradient, 0.999 * state[1] + 0.001 * gradient**2]
         move = RATE * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
-        weights, cuts = weights - move[:-2], cuts - move[-2:]
+        weights, cuts = np.maximum(weights - move[:-2], 0.0), cuts - move[-2:]
     return Ordinal({w: float(weights[i]) for w, i in chosen.items()}, [float(cuts[0]), float(cuts[0] + np.exp(cuts[1]))])
 
 
