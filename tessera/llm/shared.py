@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -74,8 +75,10 @@ class Tables:
 
     def release(self) -> None:
         """Lets Spark delete the shuffle files of finished steps now, not at some later collection."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the second collection meets what the first one has let go
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
 
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
