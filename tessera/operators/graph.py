@@ -34,24 +34,30 @@ def doubled(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("parent").alias("a"), F.col("child").alias("b")).unionByName(edges.select(F.col("child").alias("a"), F.col("parent").alias("b")))
 
 
-def _recursive(text: str, levels: int, **frames: DataFrame) -> DataFrame:
-    spark = next(iter(frames.values())).sparkSession
-    return spark.sql(text.replace("LEVELS", str(levels)), **frames)
+def _paths(start: DataFrame, edges: DataFrame, depth: int, once: bool) -> DataFrame:
+    """uid, depth, one row per path from the start's uids, level by level; ``once``: no node twice on a path.
+
+    Edges and levels are cut, so a level costs one join and no earlier one is computed again.
+    """
+    edges = cut(edges.select("parent", "child"))
+    level = cut(start.select("uid", F.lit(0).alias("depth"), F.array("uid").alias("path")))
+    found = level.select("uid", "depth")
+    for d in range(1, depth + 1):
+        ahead = level.join(edges, F.col("uid") == F.col("parent"))
+        if once:
+            ahead = ahead.where(~F.array_contains("path", F.col("child")))
+        path = F.array_append("path", F.col("child")) if once else F.col("path")
+        level = cut(ahead.select(F.col("child").alias("uid"), F.lit(d).alias("depth"), path.alias("path")))
+        if level.isEmpty():
+            break
+        found = found.unionByName(level.select("uid", "depth"))
+    return found
 
 
 def walk(instance: DataFrame, lineage: DataFrame, root: int, depth: int) -> DataFrame:
     """uid, depth, one row per path (a bag): downward over live edges to live nodes, no node twice on a path."""
-    edges = live_edges(lineage).join(live(instance).select(F.col("uid").alias("child")), "child", "left_semi").select("parent", "child")
-    start = instance.where(F.col("uid") == root).select("uid")
-    return _recursive(
-        f"""WITH RECURSIVE walked(uid, depth, path) MAX RECURSION LEVEL LEVELS AS (
-              SELECT uid, 0, array(uid) FROM {{start}}
-              UNION ALL
-              SELECT e.child, w.depth + 1, array_append(w.path, e.child) FROM walked w JOIN {{edges}} e ON e.parent = w.uid
-              WHERE w.depth < {int(depth)} AND NOT array_contains(w.path, e.child))
-            SELECT uid, depth FROM walked""",
-        depth + 2, start=start, edges=edges,
-    )
+    edges = live_edges(lineage).join(live(instance).select(F.col("uid").alias("child")), "child", "left_semi")
+    return _paths(instance.where(F.col("uid") == root), edges, depth, once=True)
 
 
 def walk_summary(walked: DataFrame) -> DataFrame:
@@ -64,16 +70,8 @@ def descendants(instance: DataFrame, lineage: DataFrame, root: int, levels: int
     The number of levels bounds the walk, as nothing keeps a graph free of cycles.
     """
     edges = lineage.select(F.col("parent_instance_uid").alias("parent"), F.col("child_instance_uid").alias("child"))
-    edges = edges.join(live(instance).select(F.col("uid").alias("child")), "child", "left_semi").select("parent", "child")
-    start = instance.where(F.col("uid") == root).select("uid")
-    return _recursive(
-        f"""WITH RECURSIVE walked(uid, depth) MAX RECURSION LEVEL LEVELS AS (
-              SELECT uid, 0 FROM {{start}}
-              UNION ALL
-              SELECT e.child, w.depth + 1 FROM walked w JOIN {{edges}} e ON e.parent = w.uid WHERE w.depth < {int(levels)})
-            SELECT uid, depth FROM walked""",
-        levels + 2, start=start, edges=edges,
-    )
+    edges = edges.join(live(instance).select(F.col("uid").alias("child")), "child", "left_semi")
+    return _paths(instance.where(F.col("uid") == root), edges, levels, once=False)
 
 
 def newest(walked: DataFrame, instance: DataFrame, limit: int) -> DataFrame:
