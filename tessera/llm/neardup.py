@@ -7,9 +7,10 @@ of 512 parities. Representatives that share a band are candidates; the number of
 two sketches estimates the similarity, and pairs far below the threshold are dropped. The others are
 confirmed on the full sets of their whole texts.
 
-No bucket is expanded into all of its pairs. Every member first meets the bucket's smallest one; then
-only members of different components are compared, in blocks of bounded size, and only pairs that the
-sketches call similar leave a block. The chance that a pair shares no band is about 2e-6 at
+No bucket is expanded into all of its pairs. Every member first meets the bucket's smallest one. Then
+only members of different components are compared, in blocks of bounded size: where sketches look
+alike, the document of the smaller component visits the larger one, whose members it meets in blocks
+as well, on full sets. The chance that a pair shares no band is about 2e-6 at
 the threshold, and 5e-9 at a similarity of 0.8.
 """
 
@@ -31,10 +32,10 @@ SHINGLE, PERCENT = 5, 75
 #: Bands and samples in a band; bits of the odd sketch.
 BANDS, ROWS, SKETCH_BITS = 48, 5, 512
 SAMPLES = BANDS * ROWS
-#: Candidates below this estimate are dropped: over five deviations under the threshold.
-LEAST_ESTIMATE = 0.55
+#: Candidates below this estimate are dropped: four deviations under the threshold.
+LEAST_ESTIMATE = 0.6
 #: Buckets up to this size are joined with themselves; larger ones are compared in blocks of so many.
-SMALL_BUCKET, BLOCK = 16, 1024
+SMALL_BUCKET, BLOCK = 16, 256
 #: Words that a worker remembers; shingles that are sampled at a time.
 MAX_REMEMBERED, CHUNK = 300_000, 2048
 
@@ -181,37 +182,91 @@ def _labelled(frame: DataFrame, labels: DataFrame, column: str, name: str) -> Da
     return frame.join(found, F.col(column) == F.col("_node"), "left").withColumn(name, F.coalesce("_label", column)).drop("_node", "_label")
 
 
-def _unlike(shared: DataFrame, labels: DataFrame, sketches: DataFrame, tables: Tables) -> DataFrame:
-    """Candidate pairs of members with different labels, neither of them their bucket's pivot.
+def _towards(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """visitor, label: of each pair (a, b, label_a, label_b), the document of the smaller component
+    and the label of the larger one, each such visit once."""
+    one, other = (sizes.select(F.col("label").alias(f"label_{x}"), F.col("members").alias(f"members_{x}")) for x in "ab")
+    sized = pairs.join(one, "label_a", "left").join(other, "label_b", "left").fillna(1, ["members_a", "members_b"])
+    onward = F.struct("members_a", "label_a") < F.struct("members_b", "label_b")
+    return sized.select(F.when(onward, F.col("a")).otherwise(F.col("b")).alias("visitor"), F.when(onward, F.col("label_b")).otherwise(F.col("label_a")).alias("label")).distinct()
 
-    Buckets whose members all have one label are done. A larger one is dealt into blocks by hash;
-    each task compares two blocks' sketches and emits only pairs that look alike.
+
+def _visits(shared: DataFrame, labels: DataFrame, sketches: DataFrame, tables: Tables) -> DataFrame:
+    """visitor, label: documents that share a bucket and an alike sketch with a member of another component.
+
+    Buckets whose members all have one label are done. A larger one is dealt into blocks by hash; each
+    task compares two blocks' sketches and emits visits, not pairs.
     """
+    sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
     known = _labelled(shared.where("size > 2"), labels, "doc_id", "label")
     mixed_buckets = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    open_rows = tables.keep(known.where("doc_id <> pivot").join(mixed_buckets, "bucket"), "open")
+    open_rows = known.where("doc_id <> pivot").join(mixed_buckets, "bucket").join(sizes, "label", "left").fillna(1, ["members"])
+    open_rows = tables.keep(open_rows.select("bucket", "doc_id", "size", "label", "members"), "open")
     few, many = open_rows.where(F.col("size") <= SMALL_BUCKET), open_rows.where(F.col("size") > SMALL_BUCKET)
     one, other = (few.select("bucket", F.col("doc_id").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-    pairs = _sifted(one.join(other, "bucket").where("a < b and label_a <> label_b").select("a", "b").distinct(), sketches)
+    pairs = one.join(other, "bucket").where("a < b and label_a <> label_b").select("a", "b", "label_a", "label_b").distinct()
+    near = _towards(pairs.join(_sifted(pairs.select("a", "b"), sketches).select("a", "b"), ["a", "b"], "left_semi"), sizes)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["side"] != 1], rows[rows["side"] != 0]
         found = []
-        words, marks, ids = np.array(right["sketch"].tolist(), dtype=np.int64).reshape(-1, SKETCH_BITS // 64).view(np.uint64), right["label"].to_numpy(), right["doc_id"].to_numpy()
+        words, marks = np.array(right["sketch"].tolist(), dtype=np.int64).reshape(-1, SKETCH_BITS // 64).view(np.uint64), right["label"].to_numpy()
+        ids, members = right["doc_id"].to_numpy(), right["members"].to_numpy()
         ones_most = SKETCH_BITS / 2 * (1 - np.exp(4.0 * SAMPLES / SKETCH_BITS * (LEAST_ESTIMATE - 1)))
-        for sketch, label, doc_id in zip(left["sketch"], left["label"], left["doc_id"], strict=True):
+        for sketch, label, doc_id, size in zip(left["sketch"], left["label"], left["doc_id"], left["members"], strict=True):
             ones = np.bitwise_count(words ^ np.asarray(sketch, dtype=np.int64).view(np.uint64)).sum(axis=1, dtype=np.int64)
             good = (ones <= ones_most) & (marks != label)
-            found += [(min(doc_id, x), max(doc_id, x)) for x in ids[good]]
-        return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
+            onward = good & ((members > size) | ((members == size) & (marks > label)))
+            found += [(doc_id, x) for x in np.unique(marks[onward])]
+            found += [(x, label) for x in ids[good & ~onward]]
+        return pd.DataFrame(found, columns=["visitor", "label"]).drop_duplicates()
 
     kind = shared.schema["doc_id"].dataType.simpleString()
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = many.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).join(sketches, "doc_id")
-    dealt = dealt.select("bucket", "doc_id", "label", "sketch", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
-    dealt = dealt.select("bucket", "doc_id", "label", "sketch", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), F.when(F.col("block") == F.col("with"), 2).when(F.col("block") < F.col("with"), 0).otherwise(1).alias("side"))
-    alike = dealt.groupBy("bucket", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
-    return pairs.select("a", "b").unionByName(alike).distinct()
+    dealt = dealt.select("bucket", "doc_id", "label", "members", "sketch", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+    dealt = dealt.select("bucket", "doc_id", "label", "members", "sketch", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), F.when(F.col("block") == F.col("with"), 2).when(F.col("block") < F.col("with"), 0).otherwise(1).alias("side"))
+    return near.unionByName(dealt.groupBy("bucket", "i", "j").applyInPandas(compare, f"visitor {kind}, label {kind}")).distinct()
+
+
+def _met(visits: DataFrame, labels: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
+    """Links (a, b) between visitors and members of the components that they visit, on full sets.
+
+    Members and visitors of a component meet in blocks of bounded size; a block counts a visitor's
+    common shingles with all of its members at once, and emits one link of it at most.
+    """
+    visits = tables.keep(visits, "visits")
+    visited = visits.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("j_blocks"))
+    hosts = labels.join(visited, "label").select("label", F.col("node").alias("doc_id"), "j_blocks")
+    lone = visited.join(labels.select("label").distinct(), "label", "left_anti").select("label", F.col("label").alias("doc_id"), "j_blocks")
+    hosts = tables.keep(hosts.unionByName(lone), "hosts")
+    counts = hosts.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("i_blocks"), F.first("j_blocks").alias("j_blocks"))
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at_home = hosts.drop("j_blocks").join(counts, "label").select("label", "doc_id", block("i_blocks").alias("i"), "j_blocks").select("label", "doc_id", "i", every("j_blocks").alias("j"), F.lit(0).alias("side"))
+    coming = visits.withColumnRenamed("visitor", "doc_id").join(counts, "label").select("label", "doc_id", block("j_blocks").alias("j"), "i_blocks").select("label", "doc_id", every("i_blocks").alias("i"), "j", F.lit(1).alias("side"))
+    rows = at_home.unionByName(coming.select("label", "doc_id", "i", "j", "side")).join(docs, "doc_id")
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        hosts, guests = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        sets = [shingle_set(t) for t in hosts["text"]]
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        hashes, owner = np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+        found, ids = [], hosts["doc_id"].to_numpy()
+        for doc_id, text in zip(guests["doc_id"], guests["text"], strict=True):
+            own = shingle_set(text)
+            low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+            times = high - low
+            at = np.repeat(low - np.append(0, np.cumsum(times)[:-1]), times) + np.arange(times.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            linked = np.flatnonzero((both > 0) & (100 * both >= PERCENT * (sizes + len(own) - both)))
+            found += [(doc_id, ids[x]) for x in linked[:1]]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.select("label", "i", "j", "side", "doc_id", "text").groupBy("label", "i", "j").applyInPandas(meet, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -227,7 +282,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = tables.keep(signatures(docs), "signatures")
     usable = signed.where("n > 0 and doc_id is not null")
     classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    members = tables.keep(signed.select("doc_id", "n", "set_key").join(classes, "set_key", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "members")
+    members = tables.keep(signed.select("doc_id", "n", "set_key").join(classes, "set_key", "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "members")
     firsts = usable.join(classes.withColumnRenamed("set_key", "key"), (F.col("set_key") == F.col("key")) & (F.col("doc_id") == F.col("rep")), "left_semi")
     firsts = tables.keep(firsts.select("doc_id", "sketch", "bands"), "firsts")
     tables.drop("signatures")
@@ -246,8 +301,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = stars.join(best, ["a", "b"], "left_anti")
     rest = _labelled(_labelled(rest, labels, "a", "la"), labels, "b", "lb").where("la <> lb")
     labels = _relabelled(labels, _confirmed(rest, docs), tables, "labels-2")
-    open_pairs = _labelled(_labelled(_unlike(shared, labels, sketches, tables), labels, "a", "la"), labels, "b", "lb").where("la <> lb")
-    labels = _relabelled(labels, _confirmed(open_pairs, docs), tables, "labels-3")
+    visits = _visits(shared, labels, sketches, tables)
+    labels = _relabelled(labels, _met(visits, labels, docs, tables), tables, "labels-3")
 
     # rows that share a doc_id but not a text may belong to several classes
     classes_of = members.where("rep is not null and doc_id <> rep").select(F.col("doc_id").alias("node"), F.col("rep")).distinct()
@@ -256,7 +311,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     both = classes_of.join(own, "node", "left_semi").select("node").unionByName(doubled).distinct()
     extra = classes_of.join(both, "node").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     labels = _relabelled(labels, extra, tables, "labels-4")
-    tables.drop("firsts", "shared", "stars", "best", "open", "labels-1", "labels-2", "labels-3")
+    tables.drop("firsts", "shared", "stars", "best", "open", "visits", "hosts", "labels-1", "labels-2", "labels-3")
     named = _labelled(members, labels, "rep", "component_id").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     named = named.withColumn("component_id", F.least("component_id", "doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
