@@ -10,7 +10,6 @@ sample of labelled rows and applied to every document.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,18 +17,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import Tables, ship
 
 #: Labelled rows that the model is fitted on at most: those with the smallest hashes of doc_id.
 MAX_LABELLED = 4096
 #: A word is a feature if it stands in so many of these rows and its rate in toxic rows is higher by so many deviations.
-MIN_ROWS, MIN_DEVIATIONS, MAX_FEATURES = 8, 4.0, 4096
+MIN_ROWS, MIN_DEVIATIONS, MAX_FEATURES = 5, 4.0, 4096
 GRADES = 3
+#: Least share of toxic rows among those with a feature.
+MIN_PURITY = 0.8
 L2, STEPS, RATE = 3e-5, 600, 0.1
 #: Beside the words themselves, their beginnings of these lengths are features.
 STEMS = (4, 6, 8)
 #: A document is called toxic if P(grade >= 1) is at least this.
-TOXIC_FROM = 0.25
+TOXIC_FROM = 0.2
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -65,28 +66,14 @@ class Ordinal:
         return _sigmoid(score - np.array(self.thresholds))
 
 
-def fit(rows: list[tuple[int, set[str]]]) -> Ordinal:
-    """The model of (grade, words) rows. Without rows of two grades every document gets grade 0."""
+def fit(rows: list[tuple[int, list[str]]], features: list[str]) -> Ordinal:
+    """The model of rows of a grade and the features in it. Without rows of two grades every document gets grade 0."""
     grades = np.array([g for g, _ in rows], dtype=int)
     if len(set((grades > 0).tolist())) < 2:
         return Ordinal({}, [40.0] * (GRADES - 1))
-    every, toxic = Counter(), Counter()
-    for g, ws in rows:
-        every.update(ws)
-        if g:
-            toxic.update(ws)
-    n, t = len(rows), int((grades > 0).sum())
-    scored = []
-    for w, c in every.items():
-        if c >= MIN_ROWS:
-            a, b, p = toxic[w] / t, (c - toxic[w]) / (n - t), c / n
-            z = (a - b) / max(1e-9, (p * (1 - p) * (1 / t + 1 / (n - t))) ** 0.5)
-            if z >= MIN_DEVIATIONS:
-                scored.append((-z, w))
-    chosen = {w: i for i, (_, w) in enumerate(sorted(scored)[:MAX_FEATURES])}
-    found = [[chosen[w] for w in ws if w in chosen] for _, ws in rows]
-    row = np.repeat(np.arange(n), [len(x) for x in found])
-    column = np.array([j for x in found for j in sorted(x)], dtype=int)
+    n, chosen = len(rows), {w: i for i, w in enumerate(features)}
+    row = np.repeat(np.arange(n), [len(ws) for _, ws in rows])
+    column = np.array([chosen[w] for _, ws in rows for w in ws], dtype=int)
     weights, cuts = np.zeros(len(chosen)), np.array([1.0, 0.0])  # first threshold, log of the step to the next
     state = [np.zeros(len(chosen) + 2), np.zeros(len(chosen) + 2)]
     for step in range(1, STEPS + 1):
@@ -111,15 +98,31 @@ def fit(rows: list[tuple[int, set[str]]]) -> Ordinal:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Ordinal:
-    """Fits on the labelled sample, whose word sets come to the driver: ``most`` rows at most."""
-    def to_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fits on the labelled sample. Features are counted and chosen in Spark; the driver gets them
+    (MAX_FEATURES at most) and, for each of at most ``most`` rows, those that it has."""
+
+    def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "grade": b["grade"], "words": [sorted(words(t)) for t in b["text"]]})
+            for doc_id, grade, text in zip(b["doc_id"], b["grade"], b["text"], strict=True):
+                yield pd.DataFrame({"doc_id": doc_id, "grade": grade, "word": [None, *sorted(words(text))]})
 
-    ship(docs.sparkSession)
+    tables = Tables(ship(docs.sparkSession), "toxicity")
     sample = labelled_sample(docs, labels, most).select(F.col("doc_id").cast("string"), F.col("grade").cast("int"), "text")
-    rows = sample.mapInPandas(to_words, "doc_id string, grade int, words array<string>").collect()
-    return fit([(r["grade"], set(r["words"])) for r in sorted(rows, key=lambda r: r["doc_id"])])
+    found = tables.keep(sample.mapInPandas(exploded, "doc_id string, grade int, word string"), "words")
+    documents, present = found.where("word is null").select("doc_id", "grade"), found.where("word is not null")
+    total = documents.agg(F.count("*").alias("n"), F.count_if(F.col("grade") > 0).alias("toxic")).first()
+    n, t = total["n"], max(total["toxic"], 1)
+    counted = present.groupBy("word").agg(F.count("*").alias("rows"), F.count_if(F.col("grade") > 0).alias("toxic")).where(F.col("rows") >= MIN_ROWS)
+    share = F.col("rows") / F.lit(float(max(n, 1)))
+    spread = F.sqrt(share * (1 - share) * F.lit(1 / t + 1 / max(n - t, 1)))
+    deviations = (F.col("toxic") / F.lit(float(t)) - (F.col("rows") - F.col("toxic")) / F.lit(float(max(n - t, 1)))) / F.greatest(spread, F.lit(1e-9))
+    scored = counted.where(F.col("toxic") >= MIN_PURITY * F.col("rows")).select("word", deviations.alias("z")).where(F.col("z") >= MIN_DEVIATIONS)
+    features = [r["word"] for r in scored.orderBy(F.desc("z"), "word").limit(MAX_FEATURES).collect()]
+    chosen = docs.sparkSession.createDataFrame([(w,) for w in features], "word string")
+    held = present.join(F.broadcast(chosen), "word").groupBy("doc_id").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    rows = documents.join(held, "doc_id", "left").select("doc_id", "grade", "words").collect()
+    tables.drop("words")
+    return fit([(r["grade"], r["words"] or []) for r in sorted(rows, key=lambda r: r["doc_id"])], features)
 
 
 def severity(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:

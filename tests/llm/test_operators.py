@@ -5,7 +5,6 @@ import random
 import re
 import zlib
 
-import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -314,13 +313,13 @@ def test_mixing_meets_targets(spark):
 # 9 toxicity
 
 
-def test_toxicity_held_out():
+def test_toxicity_held_out(spark):
     at = "/root/testdata/sf0.1"
-    rows = duckdb.sql(f"select text, toxic, quality from '{at}/documents.parquet' join '{at}/labels.parquet' using (doc_id) order by md5(doc_id::varchar)").fetchall()
-    half = len(rows) // 2
-    model = toxicity.fit([(0 if t == 0 else 2 if q == 0 else 1, toxicity.words(x)) for x, t, q in rows[:half]])
-    assert model.thresholds[0] < model.thresholds[1]
-    judged = [(t, model.chances(x)[0] >= toxicity.TOXIC_FROM) for x, t, _ in rows[half:]]
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    half = labels.where("doc_id % 2 = 0")
+    model = toxicity.train(docs, half)
+    assert model.thresholds[0] < model.thresholds[1] and all(w >= 0 for w in model.weights.values())
+    judged = [(r["toxic"], model.chances(r["text"])[0] >= toxicity.TOXIC_FROM) for r in docs.join(labels.where("doc_id % 2 = 1"), "doc_id").collect()]
     caught = [p for t, p in judged if t]
     assert sum(caught) / len(caught) > 0.7 and sum(p for t, p in judged if not t) / len(judged) < 0.02
 
