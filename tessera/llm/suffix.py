@@ -36,7 +36,7 @@ LENGTH, HALF = 50, 25
 #: Bytes that are ranked at a time, and rows that are combined before they are dealt.
 PIECE, COMBINED = 1 << 20, 400_000
 #: Groups of ranks that each shuffle partition gets.
-SHARDS_PER_PARTITION = 8
+SHARDS_PER_PARTITION = 1
 
 _random = np.random.default_rng(50_25)
 _BYTES = _random.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
