@@ -32,8 +32,8 @@ SHINGLE, PERCENT = 5, 75
 #: Bands and samples in a band; bits of the odd sketch.
 BANDS, ROWS, SKETCH_BITS = 48, 5, 512
 SAMPLES = BANDS * ROWS
-#: Candidates below this estimate are dropped: seven deviations under the threshold.
-LEAST_ESTIMATE = 0.5
+#: Candidates below this estimate are dropped: six deviations (0.033) under the threshold.
+LEAST_ESTIMATE = 0.55
 #: Buckets up to this size are joined with themselves; larger ones are compared in blocks of so many.
 SMALL_BUCKET, BLOCK = 16, 256
 #: Words that a worker remembers; shingles that are sampled at a time.
