@@ -126,7 +126,11 @@ def inbox_transition(status: Column, wanted: Column) -> Column:
 def inbox_states(events: DataFrame, message: str, order: str, wanted: str) -> DataFrame:
     """Final state of each message: its wanted transitions folded in order, from received on.
 
-    A message's events are few; they are sorted and folded in one expression.
+    The fold in closed form, so that Spark aggregates before the shuffle: a rejection anywhere is final,
+    else the first of processed and failed holds, else processing if it was wanted. A null order comes
+    first, at equal orders failed comes before processed, and null or unknown wishes change nothing.
     """
-    folded = F.aggregate(F.array_sort(F.collect_list(F.struct(order, wanted))), F.lit("received"), lambda s, e: inbox_transition(s, e[wanted]))
-    return events.groupBy(message).agg(folded.alias("status"))
+    w = F.col(wanted)
+    first = F.min(F.when(w.isin("processed", "failed"), F.struct(F.col(order).alias("at"), w.alias("to"))))["to"]
+    status = F.when(F.coalesce(F.bool_or(w == "rejected"), F.lit(False)), "rejected").otherwise(F.coalesce(first, F.when(F.bool_or(w == "processing"), "processing"), F.lit("received")))
+    return events.groupBy(message).agg(status.alias("status"))

@@ -638,6 +638,15 @@ def inbox_transition(spark, d):
     return outbox.inbox_states(e.where("event_id % 7 = 0").select("user_id", "ts", wanted.alias("wanted")), "user_id", "ts", "wanted")
 
 
+@query("inbox_transition_all", """WITH RECURSIVE e AS (SELECT user_id, ts, CASE event_id % 10 WHEN 0 THEN 'rejected' WHEN 1 THEN 'processed' WHEN 2 THEN 'failed' ELSE 'processing' END AS wanted FROM events), w AS MATERIALIZED (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, wanted) AS n, wanted FROM e),
+  f(user_id, n, status) AS (SELECT DISTINCT user_id, 0::BIGINT, 'received' FROM w UNION ALL SELECT w.user_id, w.n, CASE WHEN (wanted = 'processing' AND status = 'received') OR (wanted IN ('processed', 'failed') AND status IN ('received', 'processing')) OR wanted = 'rejected' THEN wanted ELSE status END FROM f JOIN w ON w.user_id = f.user_id AND w.n = f.n + 1)
+SELECT user_id, max_by(status, n) AS status FROM f GROUP BY user_id""")
+def inbox_transition_all(spark, d):
+    (e,) = model(spark, d, "events")
+    wanted = F.when(F.col("event_id") % 10 == 0, "rejected").when(F.col("event_id") % 10 == 1, "processed").when(F.col("event_id") % 10 == 2, "failed").otherwise("processing")
+    return outbox.inbox_states(e.select("user_id", "ts", wanted.alias("wanted")), "user_id", "ts", "wanted")
+
+
 # Identifiers
 
 @query("euid_encode", f"SELECT o_orderkey AS k, translate(to_base(o_orderkey + 1, 32), '{identity.DIGITS[10:]}', '{identity.ALPHABET[10:]}') AS body FROM orders")
