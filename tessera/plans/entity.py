@@ -613,6 +613,14 @@ def outbox_fanout(spark, d):
     return outbox.fan_out(o.where("status = 'received' and id < 500"), ["1-URGENT", "2-HIGH", "lab"], o).select("message_uid", "destination")
 
 
+@query("outbox_fanout_all", prelude("outbox_event") + """
+SELECT min(x.message_uid) AS message_uid, dest AS destination FROM (SELECT * FROM outbox_event WHERE status = 'received') x, (VALUES ('1-URGENT'), ('2-HIGH'), ('lab')) v(dest)
+WHERE NOT EXISTS (SELECT 1 FROM outbox_event o WHERE o.domain_code = x.domain_code AND o.issuer_app_code = x.issuer_app_code AND o.destination = dest AND o.dedupe_key = x.dedupe_key) GROUP BY x.domain_code, x.issuer_app_code, dest, x.dedupe_key""")
+def outbox_fanout_all(spark, d):
+    (o,) = model(spark, d, "outbox_event")
+    return outbox.fan_out(o.where("status = 'received'"), ["1-URGENT", "2-HIGH", "lab"], o).select("message_uid", "destination")
+
+
 @query("outbox_backoff", "SELECT i AS attempts, CAST(least(1800, 2 ** least(greatest(i, 0), 31)) AS BIGINT) AS delay_s FROM (VALUES (-5), (0), (1), (2), (7), (31), (999)) v(i)")
 def outbox_backoff(spark, d):
     return spark.createDataFrame([(i,) for i in (-5, 0, 1, 2, 7, 31, 999)], "attempts int").select("attempts", scalars.retry_delay(F.col("attempts")).alias("delay_s"))
@@ -623,6 +631,11 @@ def outbox_requeue(spark, d):
     return outbox.requeue(_outbox(spark, d).where("id < 50"), [5, 13, 21, 22], now(), True).select("id", "status", "attempt_count", "next_attempt_at")
 
 
+@query("outbox_requeue_all", prelude("outbox_event") + f" SELECT id, CASE WHEN id IN (5, 13, 21, 22) AND status = 'dead_letter' THEN 'pending' ELSE status END AS status, CASE WHEN id IN (5, 13, 21, 22) AND status = 'dead_letter' THEN 0 ELSE attempt_count END AS attempt_count, CASE WHEN id IN (5, 13, 21, 22) AND status = 'dead_letter' THEN {STAMP} ELSE next_attempt_at END AS next_attempt_at FROM outbox_event")
+def outbox_requeue_all(spark, d):
+    return outbox.requeue(_outbox(spark, d), [5, 13, 21, 22], now(), True).select("id", "status", "attempt_count", "next_attempt_at")
+
+
 @query("inbox_dedupe", prelude("inbox_message") + ", r AS (SELECT *, row_number() OVER (PARTITION BY message_machine_uuid ORDER BY received_seq, receipt_machine_uuid) AS n FROM inbox_message) SELECT message_machine_uuid, receipt_machine_uuid FROM r WHERE n = 1")
 def inbox_dedupe(spark, d):
     (i,) = model(spark, d, "inbox_message")

@@ -55,3 +55,13 @@ def test_inbox_states_equal_the_fold(spark):
 def test_inbox_transition_takes_every_event(spark, sf):
     rows = equal_duckdb(spark, sf, "inbox_transition_all")
     assert len(rows) == spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id")).distinct().count()
+
+
+# outbox_fanout, outbox_requeue
+
+
+def test_outbox_queries_take_every_event(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    fanned = equal_duckdb(spark, sf, "outbox_fanout_all")
+    assert max(uid for _, uid in fanned) - 600_000_000 >= 500
+    assert len(equal_duckdb(spark, sf, "outbox_requeue_all")) == orders.count()
