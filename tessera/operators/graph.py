@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import cut, numbered
 from ..functions.scalars import clean, mermaid_text
 from ..model import live
 
@@ -17,14 +16,6 @@ MAX_LEVELS = 100
 COLOURS = {"workflow": "#00FF7F", "workflow_step": "#ADFF2F", "container": "#8B00FF", "content": "#00BFFF", "equipment": "#FF4500", "data": "#FFD700", "actor": "#FF69B4", "action": "#FF8C00", "generic": "#FFFFFF", "geo": "#20B2AA"}
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """Checkpoints a frame in the folder that the cluster names; only tests without one get a local folder."""
-    context = frame.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return frame.checkpoint()
-
-
 def live_edges(lineage: DataFrame) -> DataFrame:
     return live(lineage).select(F.col("parent_instance_uid").alias("parent"), F.col("child_instance_uid").alias("child"), "relationship_type")
 
@@ -154,6 +145,12 @@ def by_priority(edges: DataFrame, first: list[str], kind: str = "child_type", ke
     return edges.orderBy(F.when(F.col(kind).isin(*first), 0).otherwise(1), F.coalesce(F.col(key).cast("string"), F.lit("")))
 
 
+def numbered_by_priority(edges: DataFrame, first: list[str], parent: str = "parent_instance_uid", kind: str = "child_type", key: str = "child_instance_uid") -> DataFrame:
+    """uid, place: each parent's edges numbered in the order of by_priority, equal ones by their uids."""
+    order = [F.when(F.col(kind).isin(*first), 0).otherwise(1), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("uid")]
+    return numbered(edges.select("uid", parent, kind, key), "place", order, [parent]).select("uid", "place")
+
+
 def waves(edges: DataFrame, start: int, levels: int, down: bool = True) -> DataFrame:
     """uid, depth of the nodes reached level by level in one direction, without the start."""
     a, b = ("parent", "child") if down else ("child", "parent")

@@ -212,6 +212,12 @@ def priority_lineages(spark, d):
     return graph.by_priority(rows, ["order_instance"]).select("uid", F.row_number().over(order).cast("long").alias("place"))
 
 
+@query("priority_lineages_all", prelude("lineage") + """
+SELECT uid, row_number() OVER (PARTITION BY parent_instance_uid ORDER BY CASE WHEN child_type = 'order_instance' THEN 0 ELSE 1 END, child_instance_uid::VARCHAR, uid) AS place FROM lineage""")
+def priority_lineages_all(spark, d):
+    return graph.numbered_by_priority(model(spark, d, "lineage")[0], ["order_instance"])
+
+
 @query("orphan_edges", prelude("instance", "lineage") + """,
   alive AS (SELECT uid FROM instance WHERE NOT is_deleted)
 SELECT uid, 'parent' AS side, parent_instance_uid AS missing FROM lineage WHERE NOT is_deleted AND parent_instance_uid NOT IN (FROM alive)

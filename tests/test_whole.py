@@ -5,6 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.numbering import numbered
 from tessera.operators import outbox
 from tessera.plans import detail, entity
 
@@ -65,3 +66,24 @@ def test_outbox_queries_take_every_event(spark, sf):
     fanned = equal_duckdb(spark, sf, "outbox_fanout_all")
     assert max(uid for _, uid in fanned) - 600_000_000 >= 500
     assert len(equal_duckdb(spark, sf, "outbox_requeue_all")) == orders.count()
+
+
+# priority_lineages
+
+
+def test_numbers_within_keys_and_over_all_rows(spark):
+    rows = [(None if i % 50 == 0 else 1 if i % 4 else i % 7, (i * 37) % 2000) for i in range(2000)]
+    made = spark.createDataFrame(rows, "k int, v int")
+    per, places = {}, {}
+    for k, v in sorted(rows, key=lambda r: r[1]):
+        per[k] = per.get(k, 0) + 1
+        places[v] = per[k]
+    within = numbered(made, "n", [F.col("v")], ["k"])
+    assert within.columns == ["k", "v", "n"] and {r["v"]: r["n"] for r in within.collect()} == places
+    assert sorted((r["v"], r["n"]) for r in numbered(made, "n", [-F.col("v")]).collect()) == [(v, 2000 - v) for v in range(2000)]
+    assert numbered(made.where("false"), "n", [F.col("v")], ["k"]).count() == 0
+
+
+def test_every_parent_s_edges_are_ordered(spark, sf):
+    rows = equal_duckdb(spark, sf, "priority_lineages_all")
+    assert {uid // 10**17 for _, uid in rows} == {1, 2, 3, 6}
