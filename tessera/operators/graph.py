@@ -191,13 +191,14 @@ def colour(category: Column) -> Column:
 def mermaid(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """position, line of a Mermaid chart: nodes numbered in the order of their uids, then edges.
 
-    The numbering runs over the graph shown, which its depth and limit bound.
+    Both are numbered by ranges, so the graph shown may be the whole one.
     """
-    numbered = nodes.select("uid", "name").withColumn("n", F.row_number().over(Window.orderBy("uid")))
-    lines = numbered.select(F.lit(1).alias("part"), F.col("n").alias("position"), F.concat(F.lit("N"), F.col("n").cast("string"), F.lit('["'), mermaid_text(F.col("name")), F.lit('"]')).alias("line"))
-    ids = numbered.select("uid", F.col("n").cast("string").alias("n"))
+    shown = numbered(nodes.select("uid", "name"), "n", [F.col("uid")]).withColumn("n", F.col("n").cast("int"))
+    lines = shown.select(F.lit(1).alias("part"), F.col("n").alias("position"), F.concat(F.lit("N"), F.col("n").cast("string"), F.lit('["'), mermaid_text(F.col("name")), F.lit('"]')).alias("line"))
+    ids = shown.select("uid", F.col("n").cast("string").alias("n"))
     joined = edges.join(ids.select(F.col("uid").alias("parent"), F.col("n").alias("p")), "parent").join(ids.select(F.col("uid").alias("child"), F.col("n").alias("c")), "child")
-    links = joined.select(F.lit(2).alias("part"), F.row_number().over(Window.orderBy("parent", "child", "relationship_type")).alias("position"), F.concat(F.lit("N"), F.col("p"), F.lit(" -->|"), mermaid_text(F.col("relationship_type")), F.lit("| N"), F.col("c")).alias("line"))
+    placed = numbered(joined, "position", [F.col("parent"), F.col("child"), F.col("relationship_type")])
+    links = placed.select(F.lit(2).alias("part"), F.col("position").cast("int").alias("position"), F.concat(F.lit("N"), F.col("p"), F.lit(" -->|"), mermaid_text(F.col("relationship_type")), F.lit("| N"), F.col("c")).alias("line"))
     return lines.unionByName(links)
 
 

@@ -36,6 +36,11 @@ def graph_presentation(spark, d):
     return detail.presentation(i.where("type = 'nation'"), "properties")
 
 
+@query("graph_presentation_all", prelude("instance") + " SELECT uid, NULL::VARCHAR AS color, NULL::VARCHAR AS shape, json_extract_string(json_addl, '$.properties.size') AS size, NULL::VARCHAR AS icon FROM instance")
+def graph_presentation_all(spark, d):
+    return detail.presentation(model(spark, d, "instance")[0], "properties")
+
+
 @query("template_rows", prelude("template") + " SELECT uid, category || '/' || type || '/' || subtype || '/' || version AS code, validator_ref FROM template")
 def template_rows(spark, d):
     return detail.template_rows(*model(spark, d, "template"))

@@ -165,6 +165,16 @@ def mermaid_lines(spark, d):
     return graph.mermaid(instance.where("category = 'geo'"), graph.live_edges(lineage))
 
 
+@query("mermaid_lines_all", prelude("instance", "lineage") + """,
+  shown AS (SELECT uid, name, row_number() OVER (ORDER BY uid) AS n FROM instance),
+  links AS (SELECT p.n AS a, c.n AS b, relationship_type AS r, parent_instance_uid AS x, child_instance_uid AS y FROM lineage JOIN shown p ON p.uid = parent_instance_uid JOIN shown c ON c.uid = child_instance_uid WHERE NOT is_deleted)
+SELECT 1 AS part, n::INT AS position, 'N' || n || '["' || name || '"]' AS line FROM shown
+UNION ALL SELECT 2, (row_number() OVER (ORDER BY x, y, r))::INT, 'N' || a || ' -->|' || r || '| N' || b FROM links""")
+def mermaid_lines_all(spark, d):
+    instance, lineage = model(spark, d, "instance", "lineage")
+    return graph.mermaid(instance, graph.live_edges(lineage))
+
+
 @query("synthetic_edges", prelude("instance") + """,
   nodes AS (SELECT uid, row_number() OVER (ORDER BY uid) - 1 AS idx FROM instance WHERE category = 'actor'), n AS (SELECT count(*) AS n FROM nodes),
   pairs AS (SELECT i % n AS p, (i % n + 1 + (i // n) % (n - 1)) % n AS c FROM range(5000) r(i), n)
@@ -180,6 +190,12 @@ def revision_chains(spark, d):
     return graph.revision_chains(model(spark, d, "instance")[0].where("category = 'geo'"), 3)
 
 
+@query("revision_chains_all", prelude("instance") + """
+SELECT uid || '/' || r AS newer, uid || '/' || (r - 1) AS older, 'revision_of' AS relationship_type FROM instance, range(1, 4) t(r)""")
+def revision_chains_all(spark, d):
+    return graph.revision_chains(model(spark, d, "instance")[0], 3)
+
+
 @query("edge_endpoints", prelude("instance", "lineage") + """
 SELECT e.uid, p.name AS parent_name, c.name AS child_name, p.euid AS parent_euid, c.euid AS child_euid FROM lineage e JOIN instance p ON p.uid = parent_instance_uid JOIN instance c ON c.uid = child_instance_uid WHERE e.relationship_type = 'contains'""")
 def edge_endpoints(spark, d):
@@ -187,6 +203,13 @@ def edge_endpoints(spark, d):
     return graph.with_endpoints(lineage.where("relationship_type = 'contains'"), instance).select("uid", "parent_name", "child_name", "parent_euid", "child_euid")
 
 
+@query("edge_endpoints_all", prelude("instance", "lineage") + """
+SELECT e.uid, p.name AS parent_name, c.name AS child_name, p.euid AS parent_euid, c.euid AS child_euid FROM lineage e JOIN instance p ON p.uid = parent_instance_uid JOIN instance c ON c.uid = child_instance_uid""")
+def edge_endpoints_all(spark, d):
+    instance, lineage = model(spark, d, "instance", "lineage")
+    return graph.with_endpoints(lineage, instance).select("uid", "parent_name", "child_name", "parent_euid", "child_euid")
+
+
 @query("parent_edges", prelude("instance", "lineage") + """
 SELECT i.uid, count(*) AS n_parents FROM instance i JOIN lineage e ON e.child_instance_uid = i.uid GROUP BY i.uid""")
 def parent_edges(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.numbering import numbered
 from tessera.operators import outbox
 from tessera.plans import detail, entity
+from tessera.sources.star import model
 
 STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations")
 
@@ -87,3 +88,20 @@ def test_numbers_within_keys_and_over_all_rows(spark):
 def test_every_parent_s_edges_are_ordered(spark, sf):
     rows = equal_duckdb(spark, sf, "priority_lineages_all")
     assert {uid // 10**17 for _, uid in rows} == {1, 2, 3, 6}
+
+
+# edge_endpoints, revision_chains, mermaid_lines, graph_presentation
+
+
+def test_graph_queries_take_whole_tables(spark, sf):
+    instance, lineage = (t.count() for t in model(spark, sf, "instance", "lineage"))
+    assert len(equal_duckdb(spark, sf, "edge_endpoints_all")) == lineage
+    assert len(equal_duckdb(spark, sf, "revision_chains_all")) == 3 * instance
+    assert len(equal_duckdb(spark, sf, "graph_presentation_all")) == instance
+    lines = equal_duckdb(spark, sf, "mermaid_lines_all")
+    assert sorted(position for _, part, position in lines if part == 1) == list(range(1, instance + 1))
+
+
+def test_mermaid_has_no_window_over_all_rows(spark, sf):
+    assert "Window [row_number" not in plan_of(entity.QUERIES["mermaid_lines_all"](spark, sf))
+    equal_duckdb(spark, sf, "mermaid_lines")
