@@ -24,6 +24,18 @@ KINDS = (*BASE_KINDS, "url", "account", "address")
 # Cue words that announce an identifier, and words that end a street's name.
 ACCOUNT_CUES = ("account", "acct", "iban", "passport", "ssn", "token", "secret", "password", "api_key", "apikey", "api key")
 STREET_WORDS = ("street", "avenue", "boulevard", "strasse", "straße")
+# More words of streets, by where name and number stand, and German words that only look like streets.
+ENDS_CAPITAL = ("Road", "Lane", "Drive")
+SUFFIXES = ("strasse", "straße", "str.", "allee", "gasse", "weg", "platz")
+RUES = ("rue", "avenue", "boulevard", "place", "chemin", "allée", "impasse", "quai", "route")
+CALLES = ("calle", "avenida", "plaza", "paseo", "carretera", "camino", "C/", "Avda.")
+NO_STREETS = frozenset("Arbeitsplatz Ausweg Bauplatz Fahrweg Heimweg Hinweg Lehrplatz Parkplatz Radweg Rückweg Seeweg Sitzplatz Spielplatz Sportplatz Startplatz Stehplatz Stellplatz Studienplatz Umweg Speicherplatz Tabellenplatz".split())
+NO_NAMES = frozenset("Auf Das Dem Den Der Des Die Diese Dieser Eine Einer Ihre In Jede Keine Meine Seine Unsere Zur".split())
+# Lengths of IBANs.
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+    "LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
 SCHEMES = ("http://", "https://", "ftp://")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,9 +47,24 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL = re.compile(r"[^\s<>\"'`|]+")
 #: After an account cue: up to 12 characters of assignment, then an identifier in word characters.
 ACCOUNT = re.compile(r"(?:[ ]?(?:number|no\.?|id))?[ ]?[:=#][ ]?[\"']?(?P<id>[A-Za-z0-9][A-Za-z0-9_/+-]{6,})")
+#: The same with a space, "number" or "no." as the separator; what follows is tried by ``looks_private``.
+SPACED = re.compile(r"(?:[ ]?(?i:number|no\.?|nr\.?|id)[ ]|[ ]?(?i:no\.|nr\.)|[ ])(?P<id>[A-Za-z0-9][A-Za-z0-9_/+-]{6,}+)(?!\w)")
+#: Dates, spans of years, and numbers with words hung on to them, as prose has them behind a cue.
+PROSE = re.compile(r"[0-9]{4}[-/][0-9]{1,4}(?:[-/][0-9]{1,2})?|[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}|[0-9]{1,4}[a-z]*(?:-[a-z]+)+|[0-9]{1,4}[a-z]+")
+#: Behind the cue iban: separators, then the country, check digits and what may belong to it.
+IBAN = re.compile(r"(?:[ ]?(?i:number|no\.?|nr\.?))?[ ]?[:=#]?[ ]?[\"']?(?P<id>[A-Za-z]{2}[0-9]{2}(?:[ ]?[A-Za-z0-9]){11,44}+)")
 #: Before a street word: a house number and one to three capitalised words.
 STREET = re.compile(r"[0-9]{1,5}[A-Za-z]?(?: [A-ZÄÖÜÉ][\w'-]*){1,3} $")
 STREET_REACH = 80
+#: A house number behind a name; the end of a name that a suffix hangs on to, or that stands before it.
+HOUSE = re.compile(r" (?P<n>[0-9]{1,4}[A-Za-z]?)(?![\w%]|[.,:][0-9])")
+COMPOUND = re.compile(r"[A-ZÄÖÜ][A-Za-zÄÖÜäöüßé-]+$")
+NAME_BEFORE = re.compile(r"(?P<name>[A-ZÄÖÜ][A-Za-zÄÖÜäöüßé-]+)[ -]$")
+_PARTS = r"(?:(?:de la|de las|de los|de l['’]|del|des|de|du|la|le|les|el|d['’]|l['’]) ?)?[A-ZÀ-ÖØ-Þ][\w'’-]*"
+#: A number in front of a French street word; the name behind it. The name and number behind a Spanish one.
+NUMBER_BEFORE = re.compile(r"[0-9]{1,4}(?: ?(?:bis|ter|quater|[A-Za-z]))?,? $")
+RUE_NAME = re.compile(rf" {_PARTS}(?: {_PARTS}){{0,3}}")
+CALLE_NAME = re.compile(rf" {_PARTS}(?: {_PARTS}){{0,3}},?(?: (?:n[.º°]{{1,2}}|núm\.|número))? [0-9]{{1,4}}[A-Za-z]?(?![\w%]|[.,:][0-9])")
 
 REPLACEMENTS = {k: f"[{k.upper()}]" for k in KINDS}
 
@@ -52,6 +79,56 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_end(text: str, start: int, most: int) -> int:
+    """The end of the IBAN that starts here, with or without a space behind each group of four; 0 for none.
+
+    It has its country's length, nothing alphanumeric behind it, and a remainder of 1 by 97.
+    """
+    wanted, taken, at = IBAN_LENGTHS.get(text[start : start + 2].upper(), 0), [], start
+    while len(taken) < wanted and at < most:
+        c = text[at]
+        if c != " ":
+            taken.append(c.upper())
+        elif len(taken) % 4 or text[at - 1] == " ":
+            return 0
+        at += 1
+    if not wanted or len(taken) < wanted or text[at : at + 1].isalnum():
+        return 0
+    return at if int("".join(str(int(c, 36)) for c in (*taken[4:], *taken[:4]))) % 97 == 1 else 0
+
+
+def account_at(text: str, cue: str, end: int) -> tuple[int, int, bool] | None:
+    """Start, end and validity of the identifier behind a cue that ends before ``end``."""
+    if cue == "iban" and (m := IBAN.match(text, end)) and (stop := iban_end(text, m.start("id"), m.end("id"))):
+        return m.start("id"), stop, True
+    if m := ACCOUNT.match(text, end):
+        return m.start("id"), m.end("id"), any("0" <= c <= "9" for c in m["id"])
+    if cue != "iban" and (m := SPACED.match(text, end)) and any("0" <= c <= "9" for c in m["id"]) and not PROSE.fullmatch(m["id"]):
+        return m.start("id"), m.end("id"), True
+    return None
+
+
+def address_at(text: str, at: int, end: int, low: int) -> tuple[int, int] | None:
+    """Start and end of the address around the street word text[at:end], not before ``low``."""
+    word, before = text[at:end], text[low:at]
+    free = lambda start: not (start and text[start - 1].isalnum())
+    if text[end : end + 1].isalnum():
+        return None
+    if (word.lower() in STREET_WORDS or word in ENDS_CAPITAL) and (m := STREET.search(before)) and free(low + m.start()):
+        return low + m.start(), end
+    if word.lower() in SUFFIXES and (h := HOUSE.match(text, end)):
+        if word[0].islower():
+            if (m := COMPOUND.search(before)) and free(low + m.start()) and m[0] + word not in NO_STREETS:
+                return low + m.start(), h.end()
+        elif (m := NAME_BEFORE.search(before)) and free(low + m.start()) and m["name"] not in NO_NAMES:
+            return low + m.start(), h.end()
+    if word.lower() in RUES and before[-1:] == " " and (m := NUMBER_BEFORE.search(before)) and free(low + m.start()) and (n := RUE_NAME.match(text, end)):
+        return low + m.start(), n.end()
+    if (word in CALLES or word.lower() in CALLES) and free(at) and (n := CALLE_NAME.match(text, end)):
+        return at, n.end()
+    return None
+
+
 def automaton():
     import ahocorasick
 
@@ -65,7 +142,9 @@ def automaton():
     for cue in ACCOUNT_CUES:
         for form in {cue, cue.upper(), cue.capitalize()}:
             found.add_word(form, ("cue", len(form)))
-    for word in STREET_WORDS:
+    for word in ENDS_CAPITAL:
+        found.add_word(word, ("street", len(word)))
+    for word in {*STREET_WORDS, *SUFFIXES, *RUES, *CALLES}:
         for form in {word, word.capitalize()}:
             found.add_word(form, ("street", len(form)))
     found.make_automaton()
@@ -111,12 +190,10 @@ def spans_of(text: str, anchors) -> list[tuple[int, int, str]]:
                 stop = end + 1 + len(m[0].rstrip(".,;:!?)]}"))
                 take("url", at, stop, stop > end + 1)
         elif what == "cue":
-            if at >= last["account"] and not (at and (text[at - 1].isalnum())) and (m := ACCOUNT.match(text, end + 1)):
-                take("account", m.start("id"), m.end("id"), any("0" <= c <= "9" for c in m["id"]))
-        elif at >= last["address"] and not text[end + 1 : end + 2].isalnum():
-            low = max(last["address"], at - STREET_REACH)
-            if (m := STREET.search(text[low:at])) and not (low + m.start() and text[low + m.start() - 1].isalnum()):
-                take("address", low + m.start(), end + 1, True)
+            if at >= last["account"] and not (at and (text[at - 1].isalnum())) and (a := account_at(text, text[at : end + 1].lower(), end + 1)):
+                take("account", *a)
+        elif at >= last["address"] and (a := address_at(text, at, end + 1, max(last["address"], at - STREET_REACH))):
+            take("address", *a, True)
     found.sort(key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
     return found
 
