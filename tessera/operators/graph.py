@@ -25,8 +25,9 @@ def doubled(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("parent").alias("a"), F.col("child").alias("b")).unionByName(edges.select(F.col("child").alias("a"), F.col("parent").alias("b")))
 
 
-def _paths(start: DataFrame, edges: DataFrame, depth: int, once: bool) -> DataFrame:
-    """uid, depth, one row per path from the start's uids, level by level; ``once``: no node twice on a path.
+def _paths(start: DataFrame, edges: DataFrame, depth: int, once: bool, whole: bool = False) -> DataFrame:
+    """uid, depth, one row per path from the start's uids, level by level; ``once``: no node twice on a path;
+    ``whole``: an error if there are rows beyond the depth.
 
     Edges and levels are cut, so a level costs one join and no earlier one is computed again.
     """
@@ -42,6 +43,9 @@ def _paths(start: DataFrame, edges: DataFrame, depth: int, once: bool) -> DataFr
         if level.isEmpty():
             break
         found = found.unionByName(level.select("uid", "depth"))
+    else:
+        if whole and not level.join(edges, F.col("uid") == F.col("parent")).isEmpty():
+            raise ValueError(f"the walk has not ended after {depth} levels; the graph may have a cycle")
     return found
 
 
@@ -55,14 +59,15 @@ def walk_summary(walked: DataFrame) -> DataFrame:
     return walked.agg(F.count("*").alias("n"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))
 
 
-def descendants(instance: DataFrame, lineage: DataFrame, root: int, levels: int = MAX_LEVELS) -> DataFrame:
+def descendants(instance: DataFrame, lineage: DataFrame, root: int, levels: int | None = None) -> DataFrame:
     """uid, depth, one row per path, the root first: edges count even if deleted, children must be live.
 
-    The number of levels bounds the walk, as nothing keeps a graph free of cycles.
+    Without a number of levels the walk goes on until no rows are left; as nothing keeps a graph free of
+    cycles, it is an error if there are some after MAX_LEVELS.
     """
     edges = lineage.select(F.col("parent_instance_uid").alias("parent"), F.col("child_instance_uid").alias("child"))
     edges = edges.join(live(instance).select(F.col("uid").alias("child")), "child", "left_semi")
-    return _paths(instance.where(F.col("uid") == root), edges, levels, once=False)
+    return _paths(instance.where(F.col("uid") == root), edges, MAX_LEVELS if levels is None else levels, once=False, whole=levels is None)
 
 
 def newest(walked: DataFrame, instance: DataFrame, limit: int) -> DataFrame:

@@ -67,12 +67,22 @@ def top_scope(frame: DataFrame) -> DataFrame:
     return frame.groupBy("domain_code", "issuer_app_code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain_code", "issuer_app_code").limit(1)
 
 
-def duplicates(frame: DataFrame, keys: list[str], member: str, most: int = 100) -> DataFrame:
-    """Keys that several rows have, their number, and the smallest members (at most so many)."""
+def duplicates(frame: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """Keys that several rows have, their number, and the smallest and largest members."""
     found = frame.groupBy(*keys).agg(F.count("*").alias("n"), F.min(member).alias("first_member"), F.max(member).alias("last_member"))
     return found.where("n > 1")
 
 
+def duplicate_members(frame: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """The keys that several rows have with each row's member, one row per member; nulls are a key as well."""
+    rows = frame.select(*keys, member)
+    twice = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("_n")).where("_n > 1")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(twice, same, "left_semi")
+
+
 def bounds(frame: DataFrame, key: str) -> DataFrame:
     return frame.groupBy(key).agg(F.count("*").alias("n"), F.min("uid").alias("min_uid"), F.max("uid").alias("max_uid"))
 

@@ -56,17 +56,18 @@ def layout_problems(layouts: DataFrame) -> DataFrame:
     return layouts.withColumn("problem", problem).where("problem is not null")
 
 
-def expand_layouts(parents: DataFrame, layouts: DataFrame, levels: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+def expand_layouts(parents: DataFrame, layouts: DataFrame, levels: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Children that creating the parents makes, level by level, and the edges to them.
 
     parents: id, code, name, tenant_id. layouts: code (of the parent), child_code, count,
     name_pattern, relationship_type. A child's id is its parent's with layout and index behind it.
-    Codes already on a node's path aren't expanded again, and levels bound the rest.
+    Codes already on a node's path aren't expanded again. Without a number of levels it is an error if
+    there is more to make after MAX_DEPTH.
     """
     rows = layouts.select(F.col("code").alias("_code"), "child_code", F.coalesce("count", F.lit(1)).alias("_count"), F.coalesce("name_pattern", F.lit("{parent_name}_{index}")).alias("_pattern"), "relationship_type")
     level = parents.select("id", "code", "name", "tenant_id", F.array("code").alias("path"))
     nodes = edges = None
-    for depth in range(1, levels + 1):
+    for depth in range(1, (MAX_DEPTH if levels is None else levels) + 1):
         made = level.join(rows, (F.col("code") == F.col("_code")) & ~F.array_contains("path", F.col("child_code")))
         made = made.select("*", F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("index"))
         child = F.concat("id", F.lit("/"), "child_code", F.lit("#"), F.col("index").cast("string"))
@@ -77,6 +78,10 @@ def expand_layouts(parents: DataFrame, layouts: DataFrame, levels: int = MAX_DEP
         e = made.select("parent_id", "child_id", "relationship_type")
         nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n), edges.unionByName(e))
         level = made.select(F.col("child_id").alias("id"), F.col("child_code").alias("code"), F.col("child_name").alias("name"), "tenant_id", "path")
+    else:
+        more = rows.where("_count > 0").join(level, (F.col("code") == F.col("_code")) & ~F.array_contains("path", F.col("child_code")))
+        if levels is None and not more.isEmpty():
+            raise ValueError(f"layouts go deeper than {MAX_DEPTH} levels")
     if nodes is None:
         spark = parents.sparkSession
         return spark.createDataFrame([], "id string, code string, name string, tenant_id string, depth int"), spark.createDataFrame([], "parent_id string, child_id string, relationship_type string")

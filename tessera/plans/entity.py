@@ -70,7 +70,15 @@ def walk_summary(spark, d):
 SELECT w.uid, i.euid FROM walked w JOIN instance i USING (uid) ORDER BY i.created_dt DESC, uid LIMIT 10000""")
 def descendants_of_customer(spark, d):
     instance, lineage = model(spark, d, "instance", "lineage")
-    return graph.newest(graph.descendants(instance, lineage, CUSTOMER, 6), instance, 10_000).select("uid", "euid")
+    return graph.newest(graph.descendants(instance, lineage, CUSTOMER), instance, 10_000).select("uid", "euid")
+
+
+@query("descendants_of_region", prelude("instance", "lineage") + f""",
+  walked(uid) AS (SELECT uid FROM instance WHERE uid = {REGION} UNION ALL
+    SELECT c.uid FROM walked w JOIN lineage e ON e.parent_instance_uid = w.uid JOIN instance c ON c.uid = e.child_instance_uid WHERE NOT c.is_deleted)
+SELECT uid, count(*) AS n_paths FROM walked GROUP BY uid""")
+def descendants_of_region(spark, d):
+    return graph.descendants(*model(spark, d, "instance", "lineage"), REGION).groupBy("uid").agg(F.count("*").alias("n_paths"))
 
 
 @query("graph_neighbourhood", prelude("instance", "lineage") + f""",
@@ -314,6 +322,11 @@ def duplicate_dedupe_keys(spark, d):
     return stats.duplicates(model(spark, d, "outbox_event")[0], outbox.KEYS, "id")
 
 
+@query("duplicate_dedupe_members", prelude("outbox_event") + " SELECT domain_code, issuer_app_code, destination, dedupe_key, id FROM outbox_event QUALIFY count(*) OVER (PARTITION BY domain_code, issuer_app_code, destination, dedupe_key) > 1")
+def duplicate_dedupe_members(spark, d):
+    return stats.duplicate_members(model(spark, d, "outbox_event")[0], outbox.KEYS, "id")
+
+
 @query("kind_bounds", prelude("instance") + " SELECT polymorphic_discriminator, count(*) AS n, min(uid) AS min_uid, max(uid) AS max_uid FROM instance GROUP BY polymorphic_discriminator")
 def kind_bounds(spark, d):
     return stats.bounds(model(spark, d, "instance")[0], "polymorphic_discriminator")

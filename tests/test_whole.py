@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.numbering import numbered
-from tessera.operators import outbox
+from tessera.operators import graph, outbox, stats, templates
 from tessera.plans import detail, entity
 from tessera.sources.star import model
 
@@ -105,3 +105,32 @@ def test_graph_queries_take_whole_tables(spark, sf):
 def test_mermaid_has_no_window_over_all_rows(spark, sf):
     assert "Window [row_number" not in plan_of(entity.QUERIES["mermaid_lines_all"](spark, sf))
     equal_duckdb(spark, sf, "mermaid_lines")
+
+
+# descendants_of_customer, duplicate_dedupe_keys
+
+
+def test_walks_end_or_fail(spark, sf, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_LEVELS", 7)
+    nodes = spark.range(1, 10).select(F.col("id").alias("uid"), F.lit(False).alias("is_deleted"))
+    edges = lambda n: spark.range(1, n).select(F.col("id").alias("parent_instance_uid"), (F.col("id") + 1).alias("child_instance_uid"))
+    assert graph.descendants(nodes, edges(8), 1).count() == 8
+    with pytest.raises(ValueError, match="levels"):
+        graph.descendants(nodes, edges(9), 1)
+    assert max(n for n, _ in equal_duckdb(spark, sf, "descendants_of_region")) >= 1
+    assert equal_duckdb(spark, sf, "descendants_of_customer")
+
+
+def test_layouts_end_or_fail(spark, monkeypatch):
+    monkeypatch.setattr(templates, "MAX_DEPTH", 2)
+    parents = spark.createDataFrame([("p", "c0", "P", None)], "id string, code string, name string, tenant_id string")
+    layouts = lambda n: spark.createDataFrame([(f"c{i}", f"c{i + 1}", 2, None, "contains") for i in range(n)], "code string, child_code string, count int, name_pattern string, relationship_type string")
+    assert templates.expand_layouts(parents, layouts(2))[0].count() == 6
+    with pytest.raises(ValueError, match="deeper"):
+        templates.expand_layouts(parents, layouts(3))
+
+
+def test_duplicates_list_every_member(spark, sf):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "b"), (5, "a")], "id int, k string")
+    assert sorted(r["id"] for r in stats.duplicate_members(rows, ["k"], "id").collect()) == [1, 2, 3, 5]
+    equal_duckdb(spark, sf, "duplicate_dedupe_members")
