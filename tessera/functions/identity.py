@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 # The identifier alphabet, and the digits that Spark writes for base 32.
 ALPHABET = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -94,9 +96,8 @@ def assign(rows: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
     """Gives rows of domain_code and euid_prefix the next sequence numbers of their prefix and their
     identifiers; ``existing`` has prefix and next_seq. Rows of a prefix are numbered in ``order``."""
     base = F.coalesce("next_seq", F.lit(1))
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy("euid_prefix").orderBy(*order)) - 1)
-    joined = numbered.join(existing, F.col("euid_prefix") == F.col("prefix"), "left")
-    joined = joined.withColumn("euid_seq", (base + F.col("_n")).cast("long")).drop("_n", "prefix", "next_seq")
+    joined = numbered(rows, "_n", [F.col(c) for c in order], ["euid_prefix"]).join(existing, F.col("euid_prefix") == F.col("prefix"), "left")
+    joined = joined.withColumn("euid_seq", (base + F.col("_n") - 1).cast("long")).drop("_n", "prefix", "next_seq")
     return joined.withColumn("euid", build(F.col("domain_code"), F.col("euid_prefix"), F.col("euid_seq")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbering import cut, numbered
@@ -229,7 +229,7 @@ def synthetic_edges(nodes: DataFrame, count: int) -> DataFrame:
     spark, n = nodes.sparkSession, nodes.count()
     if not 0 <= count <= n * (n - 1):
         raise ValueError("more edges than pairs of nodes")
-    indexed = nodes.select("uid", (F.row_number().over(Window.orderBy("uid")) - 1).cast("long").alias("idx"))
+    indexed = numbered(nodes.select("uid"), "n", [F.col("uid")]).select("uid", (F.col("n") - 1).alias("idx"))
     pairs = spark.range(count).select((F.col("id") % n).alias("p"), F.pmod(F.col("id") % n + 1 + F.expr(f"id div {n}") % max(n - 1, 1), F.lit(n)).alias("c"))
     parents, children = (indexed.select(F.col("uid").alias(name), F.col("idx").alias(k)) for name, k in (("parent", "p"), ("child", "c")))
     return pairs.join(parents, "p").join(children, "c").select("parent", "child")

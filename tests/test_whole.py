@@ -134,3 +134,12 @@ def test_duplicates_list_every_member(spark, sf):
     rows = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "b"), (5, "a")], "id int, k string")
     assert sorted(r["id"] for r in stats.duplicate_members(rows, ["k"], "id").collect()) == [1, 2, 3, 5]
     equal_duckdb(spark, sf, "duplicate_dedupe_members")
+
+
+# synthetic_edges, euid_assign
+
+
+@pytest.mark.parametrize("name", ["synthetic_edges", "euid_assign"])
+def test_numbers_without_a_window_over_all_rows(spark, sf, name):
+    assert "Window [row_number" not in plan_of(entity.QUERIES[name](spark, sf))
+    equal_duckdb(spark, sf, name)
