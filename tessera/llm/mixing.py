@@ -73,7 +73,10 @@ def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
         found = sums.groupBy("source", *columns).agg(F.min(over).alias("x")).select(
             "source", *columns, F.col("x.bucket").alias("edge"), (F.col("x.upto") - F.col("x.tokens")).alias("below"), F.col("x.tokens").alias("at_edge")
         )
-    return found
+    # no bucket of a source without words exceeds its budget of 0: it keeps its row, and takes nothing
+    ends = found.select(F.col("source").alias("_ends"), "edge", "below", "at_edge")
+    every = wanted.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    return every.join(ends, F.col("source").eqNullSafe(F.col("_ends")), "left").drop("_ends").fillna(0, ["edge", "below", "at_edge"])
 
 
 def mix(docs: DataFrame, keep: list[str], **options) -> DataFrame:
@@ -102,7 +105,12 @@ def mixture_report(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them (0, 1 or 2 times), all columns as they were."""
+    """The rows of ``docs`` as often as the mix takes them (0, 1 or 2 times), all columns as they were.
+
+    Null and empty texts have no words: they count nothing, and go or stay with their hash. Long texts
+    are counted whole; repeated rows share one fate; an empty table stays empty. Extra columns travel
+    as one struct, so no name can clash.
+    """
     packed = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     taken = mix(packed, ["_row"]).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return taken.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

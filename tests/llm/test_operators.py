@@ -298,6 +298,17 @@ def test_mixing_equals_sql(docs, tmp_path, empty):
     assert mixing.mixture_report(empty).count() == 0
 
 
+def test_mixing_of_sources_without_words(spark, tmp_path):
+    rows = [row(1, "a b c", source="words"), row(2, None, source="empty"), row(3, "", source="empty"), row(4, " \n", source=None), row(5, "one", source="single")]
+    got = mixing.mixture_report(frame(spark, rows)).collect()
+    same(got, oracle(frame(spark, rows), queries.MIX_SQL, tmp_path))
+    assert all(v is not None for r in got for v in r)
+    assert {(r["source_size"], r["target"], r["taken"]) for r in got if r["doc_id"] in (2, 3, 4)} == {(0, 0.0, 0)}
+    assert {r["doc_id"] for r in mixing.mix_documents(frame(spark, rows)).collect()} <= {1, 5}
+    only = mixing.mixture_report(frame(spark, rows[1:4])).collect()
+    assert [(r["source_size"], r["target"], r["taken"]) for r in only] == [(0, 0.0, 0)] * 3
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(8)
     rows = [row(i, "w " * rng.randrange(0, 60), source="hot" if i % 3 == 0 else f"s{i % 5}") for i in range(3000)]
