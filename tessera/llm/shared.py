@@ -48,10 +48,13 @@ def words_of(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only a session that names none (tests in local mode) gets a temporary folder.
+    Only a session in local mode that names none (as in tests) gets a temporary folder; a cluster must
+    name one, as a folder of the driver's machine would not be shared.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -240,6 +240,22 @@ def test_urls_equal_sql(spark, tmp_path):
     same(urlfilter.judge_urls(pages, rules).collect(), oracle(pages, queries.URL_SQL, tmp_path, "pages"))
     assert urlfilter.judge_urls(pages.where("false"), rules).count() == 0
     assert {r["verdict"] for r in urlfilter.judge_urls(pages, rules.where("false"), "block").collect()} == {"block"}
+    long = spark.createDataFrame([("net", "/" + "p" * 5000, "block")], "host string, path string, action string")
+    assert {r["verdict"] for r in urlfilter.judge_urls(pages, long).collect()} == {"allow"}
+
+
+def test_urls_meet_rules_on_the_short_hash_alone(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(i % 7, f"https://s{i % 5}.example.net/{'en' if i % 2 else 'de'}/{i % 3}") for i in range(200)] + [(1, None)] * 3, "page_id long, url string")
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, action string")
+    judged = urlfilter.judge_urls(pages, rules)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [short" in plan and "BroadcastHashJoin [digest" not in plan and "SortMergeJoin" not in plan
+    expected = oracle(pages, queries.URL_SQL, tmp_path, "pages")
+    same(judged.collect(), expected)
+    monkeypatch.setattr(urlfilter, "MAX_BROADCAST_RULES", 0)
+    same(urlfilter.judge_urls(pages, rules).collect(), expected)
+    monkeypatch.setattr(urlfilter, "PREFIX_DIGITS", 0)  # all short hashes collide; digests decide
+    same(urlfilter.judge_urls(pages, rules).collect(), expected)
 
 
 # 7 personal data
