@@ -10,7 +10,8 @@ confirmed on the full sets of their whole texts.
 No bucket is expanded into all of its pairs. Every member first meets the bucket's smallest one. Then
 only members of different components are compared, in blocks of bounded size: where sketches look
 alike, the document of the smaller component visits the larger one, whose members it meets in blocks
-as well, on full sets. The chance that a pair shares no band is about 2.3e-6 at
+as well, on full sets. Keys that hold many rows - a bucket, a pivot, a component, a set - are dealt to
+several tasks. The chance that a pair shares no band is about 2.3e-6 at
 the threshold, and 5e-9 at a similarity of 0.8. The sketch drops a pair at the threshold with a chance of
 1.1e-6, so a link is missed with about 3.3e-6.
 """
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .dealing import dealt_join, hot_keys
 from .shared import Tables, ship
 
 #: Words in a shingle, and the similarity in percent from which documents are linked.
@@ -35,8 +37,11 @@ BANDS, ROWS, SKETCH_BITS = 48, 5, 512
 SAMPLES = BANDS * ROWS
 #: Candidates below this estimate are dropped: 1.1e-6 of the pairs at the threshold (7e-9 at 0.5, 7e-5 at 0.6).
 LEAST_ESTIMATE = 0.55
-#: Buckets up to this size are joined with themselves; larger ones are compared in blocks of so many.
-SMALL_BUCKET, BLOCK = 16, 256
+#: Buckets up to this size are joined with themselves; larger ones are compared in blocks of so many
+#: sketches (of 64 bytes): a row is copied once for each block of its bucket.
+SMALL_BUCKET, BLOCK = 16, 8192
+#: Shingles (of 8 bytes) of a component's members, or of its visitors, that meet in a task.
+WEIGHT = 1 << 20
 #: Words that a worker remembers; shingles that are sampled at a time.
 MAX_REMEMBERED, CHUNK = 300_000, 2048
 
@@ -139,14 +144,19 @@ def estimate(a: Column, b: Column) -> Column:
     return 1 + SKETCH_BITS / (4.0 * SAMPLES) * F.log(rest)
 
 
-def _sifted(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _sifted(pairs: DataFrame, sketches: DataFrame, tables: Tables, name: str) -> DataFrame:
     """The pairs (a, b) whose sketches suggest a link, with the estimate."""
+    pairs = tables.keep(pairs, f"{name}-pairs")
     one, other = (sketches.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    return pairs.join(one, "a").join(other, "b").select("a", "b", estimate(F.col("sa"), F.col("sb")).alias("estimate")).where(F.col("estimate") >= LEAST_ESTIMATE)
+    return dealt_join(pairs, one, "a", "b", hot_keys(pairs, "a", tables, f"{name}-hot")).join(other, "b").select("a", "b", estimate(F.col("sa"), F.col("sb")).alias("estimate")).where(F.col("estimate") >= LEAST_ESTIMATE)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked, decided on the sets of their whole texts."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """The pairs (a, b) that are linked, decided on the sets of their whole texts.
+
+    ``pairs`` is a written table. Rows that share a doc_id but not a text have a row per text and meet
+    with all of them.
+    """
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets: dict[str, np.ndarray] = {}
@@ -165,14 +175,16 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     one, other = (docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     # the texts of b are the many ones: they move once to b and once to a
-    return pairs.select("a", "b").join(other, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInPandas(confirm, f"a {kind}, b {kind}")
+    moved = dealt_join(pairs.select("a", "b").join(other, "b"), one, "a", "b", hot_keys(pairs, "a", tables, f"{name}-hot"))
+    return moved.select("a", "b", "text_a", "text_b").mapInPandas(confirm, f"a {kind}, b {kind}")
 
 
 def _relabelled(labels: DataFrame, links: DataFrame, tables: Tables, name: str) -> DataFrame:
     """Labels after more links between nodes, known or not."""
     between = _labelled(_labelled(links, labels, "a", "a"), labels, "b", "b").select("a", "b")
-    joined = components(between, tables, f"{name}-links").select(F.col("node").alias("old"), F.col("label").alias("new"))
-    moved = labels.join(joined, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+    joined = tables.keep(components(between, tables, f"{name}-links").select(F.col("node").alias("old"), F.col("label").alias("new")), f"{name}-joined")
+    moved = dealt_join(labels, joined.withColumnRenamed("old", "label"), "label", "node", hot_keys(labels, "label", tables, f"{name}-hot"), "left")
+    moved = moved.select("node", F.coalesce("new", "label").alias("label"))
     fresh = joined.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
     return tables.keep(moved.unionByName(fresh), name)
 
@@ -192,21 +204,22 @@ def _towards(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return sized.select(F.when(onward, F.col("a")).otherwise(F.col("b")).alias("visitor"), F.when(onward, F.col("label_b")).otherwise(F.col("label_a")).alias("label")).distinct()
 
 
-def _visits(shared: DataFrame, labels: DataFrame, sketches: DataFrame, tables: Tables) -> DataFrame:
+def _visits(shared: DataFrame, hot_buckets: DataFrame, labels: DataFrame, sketches: DataFrame, tables: Tables) -> DataFrame:
     """visitor, label: documents that share a bucket and an alike sketch with a member of another component.
 
     Buckets whose members all have one label are done. A larger one is dealt into blocks by hash; each
     task compares two blocks' sketches and emits visits, not pairs.
     """
     sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
-    known = _labelled(shared.where("size > 2"), labels, "doc_id", "label")
+    sized = dealt_join(labels, sizes, "label", "node", hot_keys(labels, "label", tables, "visits-hot")).select(F.col("node").alias("doc_id"), "label", "members")
+    known = shared.where("size > 2").join(sized, "doc_id", "left").withColumns({"label": F.coalesce("label", "doc_id"), "members": F.coalesce("members", F.lit(1))})
     mixed_buckets = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    open_rows = known.where("doc_id <> pivot").join(mixed_buckets, "bucket").join(sizes, "label", "left").fillna(1, ["members"])
+    open_rows = dealt_join(known.where("doc_id <> pivot"), mixed_buckets, "bucket", "doc_id", hot_buckets)
     open_rows = tables.keep(open_rows.select("bucket", "doc_id", "size", "label", "members"), "open")
     few, many = open_rows.where(F.col("size") <= SMALL_BUCKET), open_rows.where(F.col("size") > SMALL_BUCKET)
     one, other = (few.select("bucket", F.col("doc_id").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-    pairs = one.join(other, "bucket").where("a < b and label_a <> label_b").select("a", "b", "label_a", "label_b").distinct()
-    near = _towards(pairs.join(_sifted(pairs.select("a", "b"), sketches).select("a", "b"), ["a", "b"], "left_semi"), sizes)
+    pairs = tables.keep(one.join(other, "bucket").where("a < b and label_a <> label_b").select("a", "b", "label_a", "label_b").distinct(), "few")
+    near = _towards(pairs.join(_sifted(pairs.select("a", "b"), sketches, tables, "few").select("a", "b"), ["a", "b"], "left_semi"), sizes)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["side"] != 1], rows[rows["side"] != 0]
@@ -230,22 +243,26 @@ def _visits(shared: DataFrame, labels: DataFrame, sketches: DataFrame, tables: T
     return near.unionByName(dealt.groupBy("bucket", "i", "j").applyInPandas(compare, f"visitor {kind}, label {kind}")).distinct()
 
 
-def _met(visits: DataFrame, labels: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
+def _met(visits: DataFrame, labels: DataFrame, docs: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
     """Links (a, b) between visitors and members of the components that they visit, on full sets.
 
-    Members and visitors of a component meet in blocks of bounded size; a block counts a visitor's
-    common shingles with all of its members at once, and emits one link of it at most.
+    Members and visitors of a component meet in blocks of bounded weight, as the sizes of their ``sets``
+    (doc_id, n) give it; a block counts a visitor's common shingles with all of its members at once, and
+    emits one link of it at most.
     """
-    visits = tables.keep(visits, "visits")
-    visited = visits.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("j_blocks"))
-    hosts = labels.join(visited, "label").select("label", F.col("node").alias("doc_id"), "j_blocks")
-    lone = visited.join(labels.select("label").distinct(), "label", "left_anti").select("label", F.col("label").alias("doc_id"), "j_blocks")
-    hosts = tables.keep(hosts.unionByName(lone), "hosts")
-    counts = hosts.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("i_blocks"), F.first("j_blocks").alias("j_blocks"))
+    visits = tables.keep(visits.withColumnRenamed("visitor", "doc_id").join(sets, "doc_id"), "visits")
+    blocks = F.greatest(F.ceil(F.sum("n") / WEIGHT), F.lit(1)).cast("int")
+    visited = tables.keep(visits.groupBy("label").agg(blocks.alias("j_blocks")), "visited")
+    hosts = labels.join(visited.select("label"), "label", "left_semi").select("label", F.col("node").alias("doc_id"))
+    lone = visited.join(labels.select("label").distinct(), "label", "left_anti").select("label", F.col("label").alias("doc_id"))
+    hosts = tables.keep(hosts.unionByName(lone).join(sets, "doc_id"), "hosts")
+    counts = tables.keep(hosts.groupBy("label").agg(blocks.alias("i_blocks")).join(visited, "label"), "counts")
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    at_home = hosts.drop("j_blocks").join(counts, "label").select("label", "doc_id", block("i_blocks").alias("i"), "j_blocks").select("label", "doc_id", "i", every("j_blocks").alias("j"), F.lit(0).alias("side"))
-    coming = visits.withColumnRenamed("visitor", "doc_id").join(counts, "label").select("label", "doc_id", block("j_blocks").alias("j"), "i_blocks").select("label", "doc_id", every("i_blocks").alias("i"), "j", F.lit(1).alias("side"))
+    at_home = dealt_join(hosts, counts, "label", "doc_id", hot_keys(hosts, "label", tables, "hosts-hot"))
+    at_home = at_home.select("label", "doc_id", block("i_blocks").alias("i"), "j_blocks").select("label", "doc_id", "i", every("j_blocks").alias("j"), F.lit(0).alias("side"))
+    coming = dealt_join(visits, counts, "label", "doc_id", hot_keys(visits, "label", tables, "visitors-hot"))
+    coming = coming.select("label", "doc_id", block("j_blocks").alias("j"), "i_blocks").select("label", "doc_id", every("i_blocks").alias("i"), "j", F.lit(1).alias("side"))
     rows = at_home.unionByName(coming.select("label", "doc_id", "i", "j", "side")).join(docs, "doc_id")
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
@@ -282,39 +299,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     signed = tables.keep(signatures(docs), "signatures")
     usable = signed.where("n > 0 and doc_id is not null")
-    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    members = tables.keep(signed.select("doc_id", "n", "set_key").join(classes, "set_key", "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "members")
+    classes = tables.keep(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    hot = hot_keys(classes.select("set_key", "n"), "set_key", tables, "classes-hot")
+    classes = classes.drop("n")
+    named = dealt_join(usable.select("doc_id", "n", "set_key"), classes, "set_key", "doc_id", hot).select("doc_id", "n", "rep")
+    alone = signed.where("n = 0 or doc_id is null").select("doc_id", "n")
+    members = tables.keep(named, "members")
+    alone = tables.keep(alone, "alone")
     firsts = usable.join(classes.withColumnRenamed("set_key", "key"), (F.col("set_key") == F.col("key")) & (F.col("doc_id") == F.col("rep")), "left_semi")
-    firsts = tables.keep(firsts.select("doc_id", "sketch", "bands"), "firsts")
+    firsts = tables.keep(firsts.select("doc_id", "n", "sketch", "bands"), "firsts")
     tables.drop("signatures")
     sketches = firsts.select("doc_id", "sketch")
 
     banded = firsts.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    shared = tables.keep(banded.join(buckets, "bucket"), "shared")
+    buckets = tables.keep(banded.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    hot_buckets = hot_keys(buckets.select("bucket", "n"), "bucket", tables, "buckets-hot")
+    shared = tables.keep(dealt_join(banded, buckets.withColumnRenamed("n", "size"), "bucket", "doc_id", hot_buckets), "shared")
     pairs = shared.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = tables.keep(_sifted(pairs, sketches), "stars")
+    stars = tables.keep(_sifted(pairs, sketches, tables, "stars"), "stars")
     # a document's likeliest pivot first: most documents need no other
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
     best = tables.keep(best.select("a", "b"), "best")
-    labels = tables.keep(components(_confirmed(best, docs), tables, "first"), "labels-1")
+    labels = tables.keep(components(_confirmed(best, docs, tables, "best"), tables, "first"), "labels-1")
 
     rest = stars.join(best, ["a", "b"], "left_anti")
-    rest = _labelled(_labelled(rest, labels, "a", "la"), labels, "b", "lb").where("la <> lb")
-    labels = _relabelled(labels, _confirmed(rest, docs), tables, "labels-2")
-    visits = _visits(shared, labels, sketches, tables)
-    labels = _relabelled(labels, _met(visits, labels, docs, tables), tables, "labels-3")
+    rest = tables.keep(_labelled(_labelled(rest, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b"), "rest")
+    labels = _relabelled(labels, _confirmed(rest, docs, tables, "rest"), tables, "labels-2")
+    visits = _visits(shared, hot_buckets, labels, sketches, tables)
+    labels = _relabelled(labels, _met(visits, labels, docs, firsts.select("doc_id", "n"), tables), tables, "labels-3")
 
     # rows that share a doc_id but not a text may belong to several classes
-    classes_of = members.where("rep is not null and doc_id <> rep").select(F.col("doc_id").alias("node"), F.col("rep")).distinct()
+    classes_of = members.where("doc_id <> rep").select(F.col("doc_id").alias("node"), F.col("rep")).distinct()
     doubled = classes_of.groupBy("node").agg(F.count("*").alias("times")).where("times > 1").select("node")
     own = members.where("rep = doc_id").select(F.col("doc_id").alias("node")).distinct()
     both = classes_of.join(own, "node", "left_semi").select("node").unionByName(doubled).distinct()
     extra = classes_of.join(both, "node").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     labels = _relabelled(labels, extra, tables, "labels-4")
-    tables.drop("firsts", "shared", "stars", "best", "open", "visits", "hosts", "labels-1", "labels-2", "labels-3")
-    named = _labelled(members, labels, "rep", "component_id").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    named = named.withColumn("component_id", F.least("component_id", "doc_id"))
+    tables.drop("classes", "firsts", "buckets", "shared", "stars-pairs", "stars", "best", "rest", "open", "few", "few-pairs", "visits", "visited", "hosts", "counts")
+    tables.drop("labels-1", "labels-2", "labels-2-joined", "labels-3", "labels-3-joined", "labels-4-joined")
+    owned = labels.select(F.col("node").alias("rep"), F.col("label").alias("component_id"))
+    named = dealt_join(members, owned, "rep", "doc_id", hot_keys(members, "rep", tables, "members-hot"), "left")
+    named = named.select("doc_id", "n", F.least(F.coalesce("component_id", "rep"), "doc_id").alias("component_id"))
+    named = named.unionByName(alone.withColumn("component_id", F.col("doc_id")))
     return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

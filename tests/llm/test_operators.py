@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import chat, mixing, mpeg, neardup, pii, quality, queries, sentpiece, suffix, toxicity, urlfilter
+from tessera.llm import chat, dealing, mixing, mpeg, neardup, pii, quality, queries, sentpiece, suffix, toxicity, urlfilter
 
 from .helpers import DOCS, frame, near_components, odd_rows, oracle, row, same, sentence, shingles
 
@@ -101,6 +101,28 @@ def test_large_impure_bucket_is_compared_in_blocks(spark, monkeypatch):
     assert got == expected
 
 
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "LEAST_HOT", 2)
+    monkeypatch.setattr(neardup, "WEIGHT", 400)
+    rows = _near_rows()
+    rows += [(200 + i, rows[3][1]) for i in range(20)]
+    expected = near_components(rows)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, [row(i, t) for i, t in rows])).collect()}
+    assert got == expected
+
+
+def test_bands_and_sketch_miss_no_link_at_the_threshold():
+    rng = np.random.default_rng(75)
+    most = neardup.SKETCH_BITS / 2 * (1 - np.exp(4.0 * neardup.SAMPLES / neardup.SKETCH_BITS * (neardup.LEAST_ESTIMATE - 1)))
+    for size, share in [(n, s) for n in (8, 20, 100, 400, 1500) for s in (0.75, 0.77, 0.8)] * 100:
+        both = -(-size * 3 // 4) if share == 0.75 else int(np.ceil(size * share))
+        hashes = rng.integers(0, 2**64, size, dtype=np.uint64)
+        a, b = np.unique(hashes[: both + (size - both) // 2]), np.unique(np.concatenate([hashes[:both], hashes[both + (size - both) // 2 :]]))
+        assert neardup.similar(a, b)
+        (one, first), (two, second) = neardup.signature(a), neardup.signature(b)
+        assert (first == second).any() and int(np.bitwise_count((one ^ two).view(np.uint64)).sum()) <= most
+
+
 def test_near_duplicates_of_nothing(empty):
     assert neardup.near_duplicates(empty).count() == 0
 
