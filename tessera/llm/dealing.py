@@ -11,17 +11,18 @@ from .shared import Tables
 LEAST_HOT, HOT_KEYS = 1024, 100_000
 
 
-def hot_keys(rows: DataFrame, key: str, tables: Tables, name: str) -> DataFrame:
+def hot_keys(rows: DataFrame, key: str, tables: Tables, name: str, counts: str | None = None) -> DataFrame:
     """_hot, _salts: the hot keys of ``rows``, and the tasks to which each is dealt, as a written table.
 
-    ``rows`` is a written table, or counts (key, n) of its keys. Of all rows at most HOT_KEYS keys have
-    more than a HOT_KEYS-th, so the result has a proven bound and may be broadcast.
+    ``rows`` is a written table; with ``counts`` it has one row for each key, and that column counts the
+    key's rows. Of all rows at most HOT_KEYS keys have more than a HOT_KEYS-th, so the result has a
+    proven bound and may be broadcast.
     """
-    counts = rows if "n" in rows.columns else rows.groupBy(key).agg(F.count("*").alias("n"))
-    total = rows.agg(F.sum("n")).first()[0] if "n" in rows.columns else rows.count()
-    most = max(LEAST_HOT, (total or 0) // HOT_KEYS + 1)
-    hot = counts.where((F.col("n") > most) & F.col(key).isNotNull())
-    return tables.keep(hot.select(F.col(key).alias("_hot"), F.ceil(F.col("n") / most).cast("int").alias("_salts")), name)
+    each = rows.select(key, F.col(counts).alias("_n")) if counts else rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = (rows.agg(F.sum(counts)).first()[0] or 0) if counts else rows.count()
+    most = max(LEAST_HOT, total // HOT_KEYS + 1)
+    hot = each.where((F.col("_n") > most) & F.col(key).isNotNull())
+    return tables.keep(hot.select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / most).cast("int").alias("_salts")), name)
 
 
 def dealt_join(rows: DataFrame, other: DataFrame, key: str, by: str, hot: DataFrame, how: str = "inner") -> DataFrame:

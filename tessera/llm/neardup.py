@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = tables.keep(signatures(docs), "signatures")
     usable = signed.where("n > 0 and doc_id is not null")
     classes = tables.keep(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    hot = hot_keys(classes.select("set_key", "n"), "set_key", tables, "classes-hot")
+    hot = hot_keys(classes, "set_key", tables, "classes-hot", "n")
     classes = classes.drop("n")
     named = dealt_join(usable.select("doc_id", "n", "set_key"), classes, "set_key", "doc_id", hot).select("doc_id", "n", "rep")
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", "n")
@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     banded = firsts.select("doc_id", F.explode("bands").alias("bucket"))
     buckets = tables.keep(banded.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    hot_buckets = hot_keys(buckets.select("bucket", "n"), "bucket", tables, "buckets-hot")
+    hot_buckets = hot_keys(buckets, "bucket", tables, "buckets-hot", "n")
     shared = tables.keep(dealt_join(banded, buckets.withColumnRenamed("n", "size"), "bucket", "doc_id", hot_buckets), "shared")
     pairs = shared.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = tables.keep(_sifted(pairs, sketches, tables, "stars"), "stars")
