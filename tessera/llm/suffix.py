@@ -12,6 +12,12 @@ windows are decided at once: every document but the smallest loses them. Only wh
 of equal anchors differ are the windows' rank pairs formed, dealt and sorted in turn, which decides
 each window.
 
+This departs from the plain form in three points, for the volume of its shuffles: the first ranks, of
+25 bytes, are fingerprints and not places in a sorted list; one doubling follows; and most positions
+are settled by their anchor's surroundings, without it. Rows travel packed into arrays, of which a
+task sorts those of one shard in memory. Shards are as many as the bytes of all texts ask for, so a
+shard's memory doesn't grow with the corpus.
+
 Equal rows are combined in each task before they are dealt, and ranks with many different
 surroundings are dealt by surroundings, so a passage that stands in many documents doesn't meet in
 one task.
@@ -35,8 +41,8 @@ from .shared import Tables, partitions, ship
 LENGTH, HALF = 50, 25
 #: Bytes that are ranked at a time, and rows that are combined before they are dealt.
 PIECE, COMBINED = 1 << 20, 400_000
-#: Groups of ranks that each shuffle partition gets.
-SHARDS_PER_PARTITION = 1
+#: Bytes of text whose anchors fill a shard (one in 13, about 100 bytes each while they are sorted).
+SHARD_BYTES = 32 << 20
 
 _random = np.random.default_rng(50_25)
 _BYTES = _random.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,15 +110,15 @@ def anchors(data: bytes, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, ...
     return ranks[at], mixed(around), low, high - low
 
 
-def _pieces(docs: Iterator[tuple[int, str]]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """(doc_id, offset, bytes) in lists of about PIECE bytes; longer texts are cut so that every
+def _pieces(docs: Iterator[tuple[int, int, str]]) -> Iterator[list[tuple[int, int, int, bytes]]]:
+    """(doc_id, variant, offset, bytes) in lists of about PIECE bytes; longer texts are cut so that every
     window lies in one piece."""
     held, size = [], 0
-    for doc_id, text in docs:
+    for doc_id, variant, text in docs:
         data = text.encode()
         for at in range(0, max(len(data) - LENGTH + 1, 0), PIECE):
             part = data[at : at + PIECE + LENGTH - 1]
-            held.append((doc_id, at, part))
+            held.append((doc_id, variant, at, part))
             size += len(part)
             if size >= PIECE:
                 yield held
@@ -139,7 +145,7 @@ def _settle(one: np.ndarray, two: np.ndarray, docs: np.ndarray) -> tuple[np.ndar
 
 
 #: Columns of a dealt row: each holds an array in binary form.
-KINDS = {"one": np.uint64, "two": np.uint64, "doc": np.int64, "low": np.int32, "more": np.uint8, "mark": np.uint8}
+KINDS = {"one": np.uint64, "two": np.uint64, "doc": np.int64, "variant": np.int64, "low": np.int32, "more": np.uint8, "mark": np.uint8}
 #: Routes: dealt by the first key, dealt by both, and rows that are decided already.
 BY_ONE, BY_BOTH, DECIDED = 0, 1, 2
 DEALT = "shard int, route int, " + ", ".join(f"{k} binary" for k in KINDS)
@@ -203,12 +209,12 @@ def deal_anchors(docs: DataFrame, shards: int) -> DataFrame:
     """The anchors of all texts, combined in each task, dealt by rank."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        for pieces in _pieces(x for b in batches for x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)):
-            cuts = np.cumsum([0, *[len(p) for _, _, p in pieces]])
-            rank, around, low, more = anchors(b"".join(p for _, _, p in pieces), list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)))
+        for pieces in _pieces(x for b in batches for x in zip(*[b.column(c).to_pylist() for c in ("doc_id", "variant", "text")], strict=True)):
+            cuts = np.cumsum([0, *[len(p[-1]) for p in pieces]])
+            rank, around, low, more = anchors(b"".join(p[-1] for p in pieces), list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)))
             which = np.searchsorted(cuts, low, side="right") - 1
-            ids, offsets = np.array([d for d, _, _ in pieces], dtype=np.int64), np.array([o for _, o, _ in pieces], dtype=np.int64)
-            yield {"one": rank, "two": around, "doc": ids[which], "low": low - cuts[which] + offsets[which], "more": more, "mark": np.zeros(len(low), np.uint8)}
+            ids, variants, offsets = (np.array([p[k] for p in pieces], dtype=np.int64) for k in range(3))
+            yield {"one": rank, "two": around, "doc": ids[which], "variant": variants[which], "low": low - cuts[which] + offsets[which], "more": more, "mark": np.zeros(len(low), np.uint8)}
 
     return docs.mapInArrow(lambda batches: _gathered(parts(batches), shards, True), DEALT)
 
@@ -218,26 +224,26 @@ def deal_windows(docs: DataFrame, shards: int) -> DataFrame:
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         for batch in batches:
-            for doc_id, text, low, more in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "low", "more")], strict=True):
+            for doc_id, variant, text, low, more in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "variant", "text", "low", "more")], strict=True):
                 ranked = Ranked(text.encode())
                 low, more = np.array(low, dtype=np.int64), np.array(more, dtype=np.int64)
                 count = more + 1
                 at = np.unique(np.repeat(low - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum()))
                 none = np.zeros(len(at), np.uint8)
-                yield {"one": ranked.of(at, at + HALF), "two": ranked.of(at + HALF, at + LENGTH), "doc": np.full(len(at), doc_id, np.int64), "low": at, "more": none, "mark": none}
+                yield {"one": ranked.of(at, at + HALF), "two": ranked.of(at + HALF, at + LENGTH), "doc": np.full(len(at), doc_id, np.int64), "variant": np.full(len(at), variant, np.int64), "low": at, "more": none, "mark": none}
 
     return docs.mapInArrow(lambda batches: _gathered(parts(batches), shards, False), DEALT)
 
 
 def decide(dealt: DataFrame) -> DataFrame:
-    """doc_id, covered, low, more: for dealt rows, whether a smaller document has the same bytes; rows
+    """doc_id, variant, covered, low, more: for dealt rows, whether a smaller document has the same bytes; rows
     that are still open only if their rank has other surroundings somewhere."""
 
     def decided(rows: pd.DataFrame) -> pd.DataFrame:
         x = {k: _unpacked(rows[k], kind) for k, kind in KINDS.items()}
         route = rows["route"].iloc[0]
         if route == DECIDED:
-            return pd.DataFrame({"doc_id": x["doc"], "covered": True, "low": x["low"], "more": x["more"].astype(np.int32)})
+            return pd.DataFrame({"doc_id": x["doc"], "variant": x["variant"], "covered": True, "low": x["low"], "more": x["more"].astype(np.int32)})
         order, new, covered = _settle(x["one"], x["two"], x["doc"])
         x = {k: v[order] for k, v in x.items()}
         wanted = np.ones(len(order), dtype=bool)
@@ -247,24 +253,40 @@ def decide(dealt: DataFrame) -> DataFrame:
             sizes = np.diff(np.append(starts, len(order)))
             several = np.add.reduceat(new.astype(np.int64), starts) > 1
             wanted = covered | np.repeat(several | (np.maximum.reduceat(x["mark"], starts) > 0), sizes)
-        return pd.DataFrame({"doc_id": x["doc"], "covered": covered, "low": x["low"], "more": x["more"].astype(np.int32)})[wanted]
+        return pd.DataFrame({"doc_id": x["doc"], "variant": x["variant"], "covered": covered, "low": x["low"], "more": x["more"].astype(np.int32)})[wanted]
+
+    return dealt.groupBy("shard", "route").applyInPandas(decided, "doc_id long, variant long, covered boolean, low int, more int")
+
 
-    return dealt.groupBy("shard", "route").applyInPandas(decided, "doc_id long, covered boolean, low int, more int")
+def with_variants(docs: DataFrame, tables: Tables) -> tuple[DataFrame, int]:
+    """``docs`` with variant, which tells the texts of one doc_id apart, and the bytes of all texts.
+
+    The variant is 0 where a doc_id has one text, as nearly all have, else a hash of the text.
+    """
+    each = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("least"), F.max(F.xxhash64("text")).alias("most"), F.sum(F.octet_length("text")).alias("bytes"))
+    each = tables.keep(each, "sizes")
+    several = tables.keep(each.where("doc_id is not null and least <> most").select(F.col("doc_id").alias("_several")), "several")
+    if several.isEmpty():
+        marked = docs.withColumn("variant", F.lit(0).cast("long"))
+    else:
+        marked = docs.join(several, F.col("doc_id") == F.col("_several"), "left")
+        marked = marked.withColumn("variant", F.when(F.col("_several").isNull(), 0).otherwise(F.xxhash64("text"))).drop("_several")
+    return marked, each.agg(F.sum("bytes")).first()[0] or 0
 
 
-def find_repeats(docs: DataFrame, tables: Tables) -> DataFrame:
-    """doc_id, low, high: byte ranges of each document that also stand in a smaller one."""
-    spark = docs.sparkSession
-    shards = SHARDS_PER_PARTITION * partitions(spark)
+def find_repeats(docs: DataFrame, tables: Tables, n_bytes: int) -> DataFrame:
+    """doc_id, variant, low, high: byte ranges of each document that also stand in a smaller one."""
+    shards = max(partitions(docs.sparkSession), -(-n_bytes // SHARD_BYTES))
+    key = ["doc_id", "variant"]
     long = docs.where(F.octet_length("text") >= LENGTH)
     anchored = tables.keep(decide(deal_anchors(long, shards)), "anchors")
     tables.release()
-    still = anchored.where(~F.col("covered")).groupBy("doc_id").agg(F.collect_list("low").alias("low"), F.collect_list("more").alias("more"))
-    windows = tables.keep(decide(deal_windows(long.join(still, "doc_id").select("doc_id", "text", "low", "more"), shards)).where("covered").select("doc_id", "low"), "windows")
+    still = anchored.where(~F.col("covered")).groupBy(*key).agg(F.collect_list("low").alias("low"), F.collect_list("more").alias("more"))
+    windows = tables.keep(decide(deal_windows(long.join(still, key).select(*key, "text", "low", "more"), shards)).where("covered").select(*key, "low"), "windows")
     tables.release()
     return (
-        anchored.where("covered").select("doc_id", "low", (F.col("low") + F.col("more") + LENGTH).alias("high"))
-        .unionByName(windows.select("doc_id", "low", (F.col("low") + LENGTH).alias("high")))
+        anchored.where("covered").select(*key, "low", (F.col("low") + F.col("more") + LENGTH).alias("high"))
+        .unionByName(windows.select(*key, "low", (F.col("low") + LENGTH).alias("high")))
     )
 
 
@@ -284,17 +306,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (the bytes left).
 
     Null texts count as empty. Texts under 50 bytes lose nothing. Rows without doc_id are no document:
-    nothing is removed from them or because of them. Rows that share a doc_id are one document and
-    should share its text; ranges found in any of them are cut out of all. An empty table gives an
-    empty result; other columns are ignored.
+    nothing is removed from them or because of them. Rows that share a doc_id are one document: none of
+    them loses what stands in another of them only, and each is judged by its own text. Texts are read
+    whole, long ones in pieces that overlap. An empty table gives an empty result; other columns are
+    ignored.
     """
     spark = ship(docs.sparkSession)
     tables = Tables(spark, "suffix")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranges = find_repeats(docs.where("doc_id is not null"), tables)
-    by_doc = tables.keep(ranges.groupBy("doc_id").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")), "ranges")
+    docs, n_bytes = with_variants(docs, tables)
+    ranges = find_repeats(docs.where("doc_id is not null"), tables, n_bytes)
+    by_doc = tables.keep(ranges.groupBy("doc_id", "variant").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")), "ranges")
     tables.release()
-    tables.drop("anchors", "windows")
+    tables.drop("anchors", "windows", "sizes")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -309,7 +333,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return docs.join(by_doc, "doc_id", "left").select("doc_id", "text", "low", "high").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return docs.join(by_doc, ["doc_id", "variant"], "left").select("doc_id", "text", "low", "high").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
