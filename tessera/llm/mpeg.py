@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,7 +175,7 @@ def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: every whole text (null: empty) stored as an MPEG file."""
 
     def stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b.iloc[at : at + SLICE] for b in batches for at in range(0, len(b), SLICE)):
             pairs = [payload_of(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [n for n, _ in pairs], "media": [write(p) for _, p in pairs]})
 
@@ -185,6 +186,10 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 COLUMNS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frame_offsets array<long>, duration_us long"
+NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
+ARROW = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64()]
+#: Rows that a worker holds as texts and media at a time.
+SLICE = 256
 
 
 def probe(stored: DataFrame) -> DataFrame:
@@ -193,22 +198,27 @@ def probe(stored: DataFrame) -> DataFrame:
     ship(stored.sparkSession)
     rest = [c for c in stored.columns if c != "media"]
 
-    @F.pandas_udf(COLUMNS)
-    def probed(media: pd.Series) -> pd.DataFrame:
-        rows = []
-        for m in media:
-            x = read_media(m)
-            p = x["payload"]
-            n, us = len(x["offsets"]), x["microseconds"]
-            feature = (
-                f"frames={n};hz={x['rate']};samples={x['samples']};us={us};kbps={x['bits'] * 1000 // us if us else 0};vbr={int(x['variable'])};table={int(x['table'])};"
-                f"crc={x['checked'] - x['failed']}/{x['checked']};resyncs={x['resyncs']};skipped={x['skipped']};tags={'+'.join(x['tags'])};"
-                f"first={x['offsets'][0] if n else -1};last={x['offsets'][-1] if n else -1}"
-            )
-            rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature, x["offsets"], us))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
-
-    return stored.withColumn("_found", probed("media")).select(*rest, "_found.*")
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            found = [probed_one(m) for m in batch.column("media").to_pylist()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), ARROW, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], *columns], names=[*rest, *NAMES])
+
+    out = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema if f.name != "media"], COLUMNS])
+    return stored.mapInArrow(probed, out)
+
+
+def probed_one(media: bytes | None) -> tuple:
+    """What ``probe`` adds for one file; null media are read as an empty file."""
+    media = media or b""
+    x = read_media(media)
+    p, n, us = x["payload"], len(x["offsets"]), x["microseconds"]
+    feature = (
+        f"frames={n};hz={x['rate']};samples={x['samples']};us={us};kbps={x['bits'] * 1000 // us if us else 0};vbr={int(x['variable'])};table={int(x['table'])};"
+        f"crc={x['checked'] - x['failed']}/{x['checked']};resyncs={x['resyncs']};skipped={x['skipped']};tags={'+'.join(x['tags'])};"
+        f"first={x['offsets'][0] if n else -1};last={x['offsets'][-1] if n else -1}"
+    )
+    return len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, x["offsets"], us
 
 
 def media_report(docs: DataFrame) -> DataFrame:
