@@ -55,8 +55,10 @@ def log_of(conversations: DataFrame) -> DataFrame:
     """The event log of finished conversations, as a server would have streamed it.
 
     Every row of conv_id, turn, role, text becomes a message: an ``open``, a first piece that is
-    dropped again by a ``regenerate``, and the text in pieces. Messages are ordered by turn, then by
-    role and text, nulls first, so repeated rows stay messages of their own.
+    dropped again, and the text in pieces. Odd messages drop it by a ``regenerate``, even ones by an
+    ``edit`` to the text's first piece. Messages are ordered by turn, then by role and text, nulls
+    first, so repeated rows stay messages of their own. The events of a message stand in the log with
+    the last one first, as a log that is read from several places is in no order.
     """
     order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -68,9 +70,13 @@ def log_of(conversations: DataFrame) -> DataFrame:
     )
     event = lambda kind, delta: F.array(F.struct(F.lit(kind).alias("kind"), delta.alias("delta")))
     none = F.lit(None).cast("string")
-    events = F.concat(event("open", none), event("delta", F.left(text, F.lit(PIECE))), event("regenerate", none), pieces)
-    return numbered.select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), F.posexplode(events).alias("seq", "e")).select(
-        "conv_id", "message", "seq", "role", F.col("e.kind").alias("kind"), F.col("e.delta").alias("delta")
+    first = F.left(text, F.lit(PIECE))
+    opening = F.concat(event("open", none), event("delta", first))
+    edited = F.concat(opening, event("edit", first), F.slice(pieces, 2, F.size(pieces)))
+    events = F.when(F.col("message") % 2 == 0, edited).otherwise(F.concat(opening, event("regenerate", none), pieces))
+    numbers = F.transform(events, lambda e, i: F.struct(i.alias("seq"), e["kind"].alias("kind"), e["delta"].alias("delta")))
+    return numbered.select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), F.explode(F.reverse(numbers)).alias("e")).select(
+        "conv_id", "message", "e.seq", "role", "e.kind", "e.delta"
     )
 
 
@@ -166,7 +172,8 @@ def conversation_digests(conversations: DataFrame) -> DataFrame:
     """Log, fold, render and read back: one row per conversation.
 
     Null texts and roles count as empty, null turns come first, rows of equal turn are ordered by role
-    and text, repeated rows are turns of their own, null conv_ids form one conversation. An empty
-    table gives an empty result; other columns are ignored.
+    and text, repeated rows are turns of their own, null conv_ids form one conversation. Long texts are
+    streamed, folded and digested whole. An empty table gives an empty result; other columns are
+    ignored.
     """
     return digests(render(fold(log_of(conversations))))
