@@ -66,6 +66,28 @@ class Ordinal:
         return _sigmoid(score - np.array(self.thresholds))
 
 
+def loss_and_gradient(grades: np.ndarray, row: np.ndarray, column: np.ndarray, weights: np.ndarray, cuts: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood with its penalty, and its gradient in the weights and the two cuts.
+
+    Row ``row[i]`` has feature ``column[i]``. The cuts are the first threshold and the logarithm of the
+    step to the next; the chance of grade k is the difference of the sigmoids at its two thresholds.
+    """
+    n = len(grades)
+    score = np.bincount(row, weights[column], n) if len(column) else np.zeros(n)
+    thresholds = np.array([cuts[0], cuts[0] + np.exp(cuts[1])])
+    below = _sigmoid(thresholds[None, :] - score[:, None])  # P(grade <= k)
+    edges = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], axis=1)
+    slopes = edges * (1 - edges)
+    high, low = edges[np.arange(n), grades + 1], edges[np.arange(n), grades]
+    chance = np.maximum(high - low, 1e-12)
+    up, down = slopes[np.arange(n), grades + 1] / chance, slopes[np.arange(n), grades] / chance
+    by_score = (up - down) / n  # slope of the loss in the score
+    by_cut = np.array([-(up[grades == k].sum() - down[grades == k + 1].sum()) / n for k in range(GRADES - 1)])
+    by_weight = np.bincount(column, by_score[row], len(weights)) if len(column) else np.zeros(len(weights))
+    loss = -np.log(chance).mean() + L2 / 2 * (weights**2).sum()
+    return float(loss), np.concatenate([by_weight + L2 * weights, [by_cut.sum(), by_cut[1] * np.exp(cuts[1])]])
+
+
 def fit(rows: list[tuple[int, list[str]]], features: list[str]) -> Ordinal:
     """The model of rows of a grade and the features in it. Without rows of two grades every document gets grade 0."""
     grades = np.array([g for g, _ in rows], dtype=int)
@@ -77,20 +99,7 @@ def fit(rows: list[tuple[int, list[str]]], features: list[str]) -> Ordinal:
     weights, cuts = np.zeros(len(chosen)), np.array([1.0, 0.0])  # first threshold, log of the step to the next
     state = [np.zeros(len(chosen) + 2), np.zeros(len(chosen) + 2)]
     for step in range(1, STEPS + 1):
-        score = np.bincount(row, weights[column], n) if len(column) else np.zeros(n)
-        thresholds = np.array([cuts[0], cuts[0] + np.exp(cuts[1])])
-        below = _sigmoid(thresholds[None, :] - score[:, None])  # P(grade <= k)
-        edges = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], axis=1)
-        slopes = edges * (1 - edges)
-        high, low = edges[np.arange(n), grades + 1], edges[np.arange(n), grades]
-        inverse = 1 / np.maximum(high - low, 1e-12)
-        up, down = slopes[np.arange(n), grades + 1] * inverse, slopes[np.arange(n), grades] * inverse
-        by_score = (up - down) / n  # slope of the loss in the score
-        by_cut = np.array([-(up[grades == k].sum() - down[grades == k + 1].sum()) / n for k in range(GRADES - 1)])
-        gradient = np.concatenate([
-            (np.bincount(column, by_score[row], len(chosen)) if len(column) else np.zeros(len(chosen))) + L2 * weights,
-            [by_cut.sum(), by_cut[1] * np.exp(cuts[1])],
-        ])
+        _, gradient = loss_and_gradient(grades, row, column, weights, cuts)
         state = [0.9 * state[0] + 0.1 * gradient, 0.999 * state[1] + 0.001 * gradient**2]
         move = RATE * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
         weights, cuts = np.maximum(weights - move[:-2], 0.0), cuts - move[-2:]
