@@ -48,14 +48,18 @@ URL = re.compile(r"[^\s<>\"'`|]+")
 #: After an account cue: up to 12 characters of assignment, then an identifier in word characters.
 ACCOUNT = re.compile(r"(?:[ ]?(?:number|no\.?|id))?[ ]?[:=#][ ]?[\"']?(?P<id>[A-Za-z0-9][A-Za-z0-9_/+-]{6,})")
 #: The same with a space, "number" or "no." as the separator; what follows is tried by ``looks_private``.
-SPACED = re.compile(r"(?:[ ]?(?i:number|no\.?|nr\.?|id)[ ]|[ ]?(?i:no\.|nr\.)|[ ])(?P<id>[A-Za-z0-9][A-Za-z0-9_/+-]{6,}+)(?!\w)")
+SPACED = re.compile(r"(?:[ ]?(?i:number|no\.?|nr\.?|id)[ ]|[ ]?(?i:no\.|nr\.)|[ ](?:(?i:is)[ ])?)(?P<id>[A-Za-z0-9][A-Za-z0-9_/+-]{6,}+)(?!\w)")
 #: Dates, spans of years, and numbers with words hung on to them, as prose has them behind a cue.
 PROSE = re.compile(r"[0-9]{4}[-/][0-9]{1,4}(?:[-/][0-9]{1,2})?|[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}|[0-9]{1,4}[a-z]*(?:-[a-z]+)+|[0-9]{1,4}[a-z]+")
 #: Behind the cue iban: separators, then the country, check digits and what may belong to it.
 IBAN = re.compile(r"(?:[ ]?(?i:number|no\.?|nr\.?))?[ ]?[:=#]?[ ]?[\"']?(?P<id>[A-Za-z]{2}[0-9]{2}(?:[ ]?[A-Za-z0-9]){11,44}+)")
+#: Behind the cue ssn: area, group and serial number. Forms of passport numbers.
+SSN = re.compile(r"(?:[ ]?(?i:number|no\.?|is))?[ ]?[:=#]?[ ]?(?P<id>(?P<area>[0-9]{3})(?P<dash>-?)(?P<group>[0-9]{2})(?P=dash)(?P<serial>[0-9]{4}))(?![0-9-])")
+PASSPORT = re.compile(r"[A-Z]{0,2}[0-9]{6,9}[A-Z]?|(?=(?:[A-Z]*[0-9]){4})[A-Z0-9]{8,9}", re.I)
 #: Before a street word: a house number and one to three capitalised words.
 STREET = re.compile(r"[0-9]{1,5}[A-Za-z]?(?: [A-ZÄÖÜÉ][\w'-]*){1,3} $")
-STREET_REACH = 80
+#: Words before a street word that can belong to its address, with one more for what stands before them.
+STREET_REACH = 6
 #: A house number behind a name; the end of a name that a suffix hangs on to, or that stands before it.
 HOUSE = re.compile(r" (?P<n>[0-9]{1,4}[A-Za-z]?)(?![\w%]|[.,:][0-9])")
 COMPOUND = re.compile(r"[A-ZÄÖÜ][A-Za-zÄÖÜäöüßé-]+$")
@@ -99,15 +103,33 @@ def iban_end(text: str, start: int, most: int) -> int:
 
 def account_at(text: str, cue: str, end: int) -> tuple[int, int, bool] | None:
     """Start, end and validity of the identifier behind a cue that ends before ``end``."""
-    if cue == "iban" and (m := IBAN.match(text, end)) and (stop := iban_end(text, m.start("id"), m.end("id"))):
-        return m.start("id"), stop, True
+    if cue == "iban":
+        m = IBAN.match(text, end)
+        stop = m and iban_end(text, m.start("id"), m.end("id"))
+        if stop:
+            return m.start("id"), stop, True
+        m = ACCOUNT.match(text, end)  # a number of another kind; what has an IBAN's country must be one
+        other = m and m["id"][:2].isalpha() and m["id"][:2].upper() not in IBAN_LENGTHS and any("0" <= c <= "9" for c in m["id"])
+        return (m.start("id"), m.end("id"), True) if other else None
+    if cue == "ssn":
+        m = SSN.match(text, end)
+        return (m.start("id"), m.end("id"), True) if m and m["area"] not in ("000", "666") and m["area"] < "900" and m["group"] != "00" and m["serial"] != "0000" else None
     if m := ACCOUNT.match(text, end):
-        return m.start("id"), m.end("id"), any("0" <= c <= "9" for c in m["id"])
-    if cue != "iban" and (m := SPACED.match(text, end)) and any("0" <= c <= "9" for c in m["id"]) and not PROSE.fullmatch(m["id"]):
+        return m.start("id"), m.end("id"), any("0" <= c <= "9" for c in m["id"]) and (cue != "passport" or PASSPORT.fullmatch(m["id"]) is not None)
+    if (m := SPACED.match(text, end)) and any("0" <= c <= "9" for c in m["id"]) and not PROSE.fullmatch(m["id"]) and (cue != "passport" or PASSPORT.fullmatch(m["id"])):
         return m.start("id"), m.end("id"), True
     return None
 
 
+def address_floor(text: str, at: int, low: int) -> int:
+    """The place from which an address before text[at] may start: some words back, however long they are."""
+    for _ in range(STREET_REACH):
+        at = text.rfind(" ", low, at)
+        if at < 0:
+            return low
+    return at
+
+
 def address_at(text: str, at: int, end: int, low: int) -> tuple[int, int] | None:
     """Start and end of the address around the street word text[at:end], not before ``low``."""
     word, before = text[at:end], text[low:at]
@@ -129,7 +151,14 @@ def address_at(text: str, at: int, end: int, low: int) -> tuple[int, int] | None
     return None
 
 
+def folded(text: str) -> str:
+    """The text in small letters, each at its place: what the automaton reads."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def automaton():
+    """All anchors in small letters, for ``folded`` texts."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
@@ -140,13 +169,9 @@ def automaton():
     for word in SCHEMES:
         found.add_word(word, ("scheme", len(word)))
     for cue in ACCOUNT_CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("cue", len(form)))
-    for word in ENDS_CAPITAL:
+        found.add_word(cue, ("cue", len(cue)))
+    for word in {x.lower() for x in (*ENDS_CAPITAL, *STREET_WORDS, *SUFFIXES, *RUES, *CALLES)}:
         found.add_word(word, ("street", len(word)))
-    for word in {*STREET_WORDS, *SUFFIXES, *RUES, *CALLES}:
-        for form in {word, word.capitalize()}:
-            found.add_word(form, ("street", len(form)))
     found.make_automaton()
     return found
 
@@ -165,7 +190,7 @@ def spans_of(text: str, anchors) -> list[tuple[int, int, str]]:
         if valid:
             found.append((start, end, kind))
 
-    for end, (what, length) in anchors.iter(text):
+    for end, (what, length) in anchors.iter(folded(text)):
         at = end + 1 - length
         if what == "digit":
             if at >= last["card"] and (m := CARD.match(text, at)):
@@ -192,7 +217,7 @@ def spans_of(text: str, anchors) -> list[tuple[int, int, str]]:
         elif what == "cue":
             if at >= last["account"] and not (at and (text[at - 1].isalnum())) and (a := account_at(text, text[at : end + 1].lower(), end + 1)):
                 take("account", *a)
-        elif at >= last["address"] and (a := address_at(text, at, end + 1, max(last["address"], at - STREET_REACH))):
+        elif at >= last["address"] and (a := address_at(text, at, end + 1, address_floor(text, at, last["address"]))):
             take("address", *a, True)
     found.sort(key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
     return found
@@ -239,8 +264,12 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with every span of the text replaced by its kind's name; n_chars, if there
-    is such a column, becomes the new text's length where the text has changed."""
+    """The rows of ``docs`` with every span of the text replaced by its kind's name.
+
+    n_chars, if there is such a column, becomes the length of the text in every row (null: 0). Null and
+    empty texts stay as they are, long ones are read whole, equal texts get equal results, repeated rows
+    stay, an empty table stays empty, and all other columns pass as they are.
+    """
 
     @F.pandas_udf("string")
     def redacted(texts: pd.Series) -> pd.Series:

@@ -223,6 +223,16 @@ def test_repeats_odd_rows(docs, empty, spark):
     assert all(r["n_removed"] == 0 for r in none)
 
 
+def test_repeats_of_rows_that_share_a_doc_id(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "SHARD_BYTES", 100)
+    passage = sentence(random.Random(11), 20)[:80].ljust(80, "x")
+    rows = [(1, passage), (2, "C" * 120), (2, passage + "tail of another kind"), (2, "C" * 120), (3, None), (3, "D" + passage)]
+    got = suffix.remove_repeats(frame(spark, [row(i, t) for i, t in rows])).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], bytes(r["kept"])) for r in got) == sorted(
+        [(1, 80, passage.encode()), (2, 120, b"C" * 120), (2, 100, b"tail of another kind"), (2, 120, b"C" * 120), (3, 0, b""), (3, 81, b"D")]
+    )
+
+
 # 5 media
 
 
@@ -318,6 +328,45 @@ def test_method_adds_spans_and_leaves_prose_alone():
     assert pii.spans_of("1" * 200_000, _ANCHORS) == []
 
 
+def _account_brute(text):
+    """Identifiers behind iban and ssn, from every start and to every end."""
+    found = []
+    for m in re.finditer(r"(?<![^\W_])(iban|ssn)[ :]{0,2}", text, re.I):
+        for end in range(m.end() + 9, len(text) + 1):
+            part = text[m.end() : end]
+            plain = part.replace(" ", "").upper()
+            if m[1].lower() == "iban":
+                grouped = re.fullmatch(r"[A-Z0-9]{4}(?: ?[A-Z0-9]{4})* ?[A-Z0-9]{0,4}", part.upper()) and part[-1] != " "
+                good = grouped and len(plain) == pii.IBAN_LENGTHS.get(plain[:2]) and plain[2:4].isdigit() and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+                good = good and not text[end : end + 1].isalnum()
+            else:
+                s = re.fullmatch(r"(\d{3})-(\d\d)-(\d{4})|(\d{3})(\d\d)(\d{4})", part)
+                area, group, serial = [x for x in s.groups() if x] if s else ("000", "00", "0000")
+                good = s and area not in ("000", "666") and area < "900" and group != "00" and serial != "0000" and text[end : end + 1] not in set("0123456789-")
+            if good:
+                found.append((m.end(), end, "account"))
+                break
+    return found
+
+
+def test_validated_identifiers_equal_brute_force():
+    rng = random.Random(13)
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "de89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE00000000000000000000", "DE89 3704 0044 0532 0130 01", "FR1420041010050500013M02606", "DE8937040044"]
+    ssns = ["123-45-6789", "123456789", "666-45-6789", "900-12-3456", "123-00-6789", "123-45-0000", "12-345-6789", "123-45-67890"]
+    for _ in range(400):
+        text = " and ".join(rng.choice(["IBAN", "iban", "Iban", "xiban", "sSn", "SSN", "SSNs"]) + rng.choice([": ", " ", ":", ""]) + rng.choice(ibans + ssns) + rng.choice(["", ".", ",", "x", "7"]) for _ in range(3))
+        assert [x for x in pii.spans_of(text, _ANCHORS) if x[2] == "account"] == _account_brute(text), text
+
+
+def test_cues_in_any_case_and_long_names():
+    found = lambda t: [(t[s:e], k) for s, e, k in pii.spans_of(t, _ANCHORS)]
+    assert found("PaSsWoRd: hunter2hunter2") == [("hunter2hunter2", "account")] and found("my ssn is 123-45-6789") == [("123-45-6789", "account")]
+    assert found("passport 12345678") == [("12345678", "account")] and found("passport: background2day") == []
+    name = "A" + "b" * 300
+    assert found(f"at 12 {name} Street") == [(f"12 {name} Street", "address")] and found("12 rue de la Paix") == [("12 rue de la Paix", "address")]
+    assert found("İ" * 3 + " token: abcdefg1") == [("abcdefg1", "account")]
+
+
 def test_personal_data_table(docs, empty, spark):
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     for r in pii.find_personal_data(docs).collect():
@@ -384,6 +433,43 @@ def test_toxicity_edge_cases(spark, docs, empty):
     assert toxicity.severity(empty, some).count() == 0
 
 
+def test_toxicity_likelihood_and_gradient_equal_brute_force():
+    rng = np.random.default_rng(12)
+    n, m = 40, 6
+    grades = rng.integers(0, 3, n)
+    has = rng.random((n, m)) < 0.3
+    row_, column = np.nonzero(has)
+    at = np.concatenate([rng.random(m), [0.7, -0.2]])
+
+    def brute(x):
+        cuts = [x[m], x[m] + np.exp(x[m + 1])]
+        below = lambda k, i: 0.0 if k < 0 else 1.0 if k > 1 else 1 / (1 + np.exp(-(cuts[k] - sum(x[j] for j in range(m) if has[i, j]))))
+        chances = [below(int(g), i) - below(int(g) - 1, i) for i, g in enumerate(grades)]
+        return -sum(np.log(c) for c in chances) / n + toxicity.L2 / 2 * sum(w * w for w in x[:m])
+
+    loss, gradient = toxicity.loss_and_gradient(grades, row_, column, at[:m], at[m:])
+    assert abs(loss - brute(at)) < 1e-9
+    for k in range(m + 2):
+        step = np.zeros(m + 2)
+        step[k] = 1e-5
+        assert abs(gradient[k] - (brute(at + step) - brute(at - step)) / 2e-5) < 1e-6
+
+
+def test_toxicity_severity_equals_brute_force(spark):
+    rows = [(i % 3, f"{'vile' if i % 3 else 'fine'} {'awful' if i % 3 == 2 else 'word'} common") for i in range(90)]
+    docs = frame(spark, [row(i, t) for i, (_, t) in enumerate(rows)])
+    labels = spark.createDataFrame([(i, int(g != 2), int(g > 0)) for i, (g, _) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    for r in toxicity.severity(docs, labels).collect():
+        words = set(rows[r["doc_id"]][1].split())
+        words |= {w[:k] + "*" for w in words for k in (4, 6, 8) if len(w) > k}
+        score = sum(w for f, w in model.weights.items() if f in words)
+        at_most = [1 / (1 + np.exp(-(t - score))) for t in model.thresholds]
+        chances = [at_most[0], at_most[1] - at_most[0], 1 - at_most[1]]
+        assert abs(r["expected_severity"] - (chances[1] + 2 * chances[2])) < 1e-5
+        assert r["grade"] == int(np.argmax(chances)) and r["toxic"] == (1 - chances[0] >= toxicity.TOXIC_FROM)
+
+
 # 10 SentencePiece
 
 
