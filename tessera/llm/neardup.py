@@ -345,6 +345,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is its component's smallest, all columns as they were."""
+    """The rows of ``docs`` whose document is its component's smallest, all columns as they were.
+
+    Rows without doc_id, text or words stay; long texts are compared whole; repeated rows of a kept
+    document all stay; an empty table stays empty.
+    """
     gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

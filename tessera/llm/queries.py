@@ -17,29 +17,34 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read(spark, sf_dir, "documents"))
 
 
-def _bin_sql(bins: list[str], name: str) -> str:
-    n, m = " + ".join(bins), " + ".join(f"r_{x}" for x in bins)
-    terms = []
-    for x in bins:
-        p, q = f"({x}::double / ({n}))", f"(r_{x}::double / ({m}))"
-        terms.append(f"CASE WHEN {p} > 0 THEN {p} * ln(2 * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * ln(2 * {q} / ({p} + {q})) ELSE 0 END")
-    return f"CASE WHEN ({n}) > 0 AND ({m}) > 0 THEN sqrt(greatest(({' + '.join(f'({t})' for t in terms)}) / 2, 0.0)) ELSE 0 END AS {name}"
+def _bin_sql(bins: list[str], prior: list[float], name: str) -> str:
+    n, m, part = " + ".join(bins), " + ".join(f"r_{x}" for x in bins), 1 - quality.PRIOR_SHARE
+    own, sums = f"[{', '.join(bins)}]", f"[{', '.join(f'r_{x}' for x in bins)}]"
+    expected = "[" + ", ".join(f"{x!r}::double" for x in prior) + "]"
+    q = f"CASE WHEN language = '' THEN s[i]::double / m WHEN m = 0 THEN e[i] ELSE e[i] + {part}::double * (m::double / (m + {quality.PRIOR_COUNT})) * (s[i]::double / m - e[i]) END"
+    terms = f"list_transform(range(1, {len(bins) + 1}), lambda i: {{'p': o[i]::double / n, 'q': {q}}})"
+    each = "list_transform(pq, lambda x: CASE WHEN x.p > 0 THEN x.p * ln(2 * x.p / (x.p + x.q)) ELSE 0 END + CASE WHEN x.q > 0 THEN x.q * ln(2 * x.q / (x.p + x.q)) ELSE 0 END)"
+    return f"""SELECT * EXCLUDE (o, s, e, n, m, pq), CASE WHEN n > 0 AND (m > 0 OR language <> '') THEN sqrt(greatest(list_sum({each}) / 2, 0.0)) ELSE 0 END AS {name}
+  FROM (SELECT *, CASE WHEN n > 0 AND (m > 0 OR language <> '') THEN {terms} END AS pq FROM (SELECT *, {own} AS o, {sums} AS s, {expected} AS e, {n} AS n, {m} AS m FROM """
 
 
 def quality_sql() -> str:
     q = quality
     lists = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in q.COMMON_WORDS.items())
+    forms = ", ".join(repr(w) for w in q.common_forms())
     languages = ", ".join(repr(k) for k in q.COMMON_WORDS)
-    commons = ", ".join(f"len(list_filter(w, lambda x: x = list[{i + 1}])) AS c{i}" for i in range(q.N_COMMON))
+    commons = ", ".join(f"len(list_filter(common, lambda x: x = list[{i + 1}])) AS c{i}" for i in range(q.N_COMMON))
+    counts = ", ".join(f"len(regexp_extract_all(t, '{pattern}')) AS {name}" for name, pattern in q.PATTERNS.items())
     both = q.CLASSES + q.BINS
     return rf"""
 WITH a AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, {SQL_WORDS} AS w, CASE WHEN lang IN ({languages}) THEN lang ELSE '' END AS language
   FROM documents
 ), b AS (
-  SELECT *, CASE language {lists} END AS list,
+  SELECT *, CASE language {lists} END AS list, list_transform(list_filter(w, lambda x: x IN ({forms})), lambda x: lower(x)) AS common,
     list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g,
-    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines
   FROM a
 ), r0 AS (
   SELECT k, unnest(g) AS gram, unnest(range(1, len(g) + 1)) AS i FROM b
@@ -49,11 +54,11 @@ WITH a AS (
   SELECT k, count(DISTINCT j) AS n_repeat_words FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM r1 WHERE n > 1) GROUP BY k
 ), c AS (
   SELECT b.doc_id, language, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint AS word_chars, length(t) AS n_chars_text,
-    len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '[0-9.,;:!?''"()/-]')) AS n_mark, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+    {counts},
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, {commons}
   FROM b LEFT JOIN r2 USING (k)
 ), d AS (
-  SELECT *, n_chars_text - word_chars AS n_space, word_chars - n_upper - n_mark - n_symbols AS n_other,
+  SELECT *, n_chars_text - word_chars AS n_space, word_chars - {" - ".join(q.PATTERNS)} AS n_other,
     n_words - ({" + ".join(f"c{i}" for i in range(q.N_COMMON))}) AS c_rest,
     n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed
   FROM c
@@ -61,19 +66,20 @@ WITH a AS (
   SELECT language, {", ".join(f"sum({x}) AS r_{x}" for x in both)} FROM d WHERE NOT base_failed GROUP BY language
 ), e AS (
   SELECT d.*, {", ".join(f"coalesce(r_{x}, 0)::bigint AS r_{x}" for x in both)} FROM d LEFT JOIN ref USING (language)
+), f0 AS (
+  {_bin_sql(q.CLASSES, q.CLASS_PRIOR, "cd")}e))
 ), f AS (
-  SELECT *, {_bin_sql(q.CLASSES, "cd")}, {_bin_sql(q.BINS, "wd")} FROM e
+  {_bin_sql(q.BINS, q.WORD_PRIOR, "wd")}f0))
 )
 SELECT doc_id, n_words::bigint AS n_words, word_chars, n_symbols::bigint AS n_symbols, n_dup_lines::bigint AS n_dup_lines, n_repeat_words::bigint AS n_repeat_words,
   base_failed,
   NOT (base_failed OR (n_chars_text >= {q.MIN_CHARS_FOR_CLASSES} AND cd > {q.MAX_CLASS_DISTANCE})
-    OR (language <> '' AND n_words >= {q.MIN_WORDS_FOR_COMMON} AND wd > {q.MAX_WORD_DISTANCE} AND cd > {q.UNUSUAL_CLASS_DISTANCE})) AS kept,
+    OR (language <> '' AND n_words >= {q.MIN_WORDS_FOR_COMMON} AND wd > {q.MAX_WORD_DISTANCE})) AS kept,
   round(cd, 6) AS class_distance, round(wd, 6) AS word_distance
 FROM f
 """
 
 
-
 def op2_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 

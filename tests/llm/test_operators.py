@@ -42,11 +42,16 @@ def test_quality_many_repeats(spark):
 
 def test_quality_rejects_odd_characters_and_keeps_prose(spark):
     rng = random.Random(2)
-    good = [row(i, sentence(rng, 300).capitalize()) for i in range(20)]
-    bad = row(99, " ".join(w + rng.choice(["###", "%%%", "$$$"]) for w in sentence(rng, 300).split()))
-    kept = {r["doc_id"]: r["kept"] for r in quality.quality_report(frame(spark, [*good, bad])).select("doc_id", "kept").collect()}
-    repeated = {r[0] for r in good if not kept[r[0]]}
-    assert not kept[99] and len(repeated) < 20
+    rest = [f"{a}{b}" for a in ("river", "stone", "light", "garden", "window", "paper", "music", "winter") for b in ("", "s", "ing", "ed", "ly", "ness")]
+    prose = lambda: " ".join(rng.choice([*quality.COMMON_WORDS["en"], "The", "of"]) if rng.random() < 0.25 else rng.choice(rest) for _ in range(300)).capitalize()
+    good = [row(i, prose()) for i in range(20)]
+    odd = row(99, " ".join(w + rng.choice(["###", "%%%", "$$$"]) for w in prose().split()))
+    wordless = row(98, " ".join(rng.choice(rest) for _ in range(300)))  # usual characters, no common word
+    short = row(97, " ".join(rng.choice(rest) for _ in range(99)))
+    unknown = row(96, " ".join(rng.choice(rest) for _ in range(300)), "xx")
+    alone = row(95, " ".join(rng.choice(rest) for _ in range(300)), "fr")  # the only one of its language: no standard of its own
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_report(frame(spark, [*good, odd, wordless, short, unknown, alone])).select("doc_id", "kept").collect()}
+    assert all(got[r[0]] for r in good) and not got[99] and not got[98] and got[97] and got[96] and not got[95]
 
 
 def test_quality_filter_keeps_columns(docs, empty):
