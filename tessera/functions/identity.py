@@ -11,6 +11,8 @@ from .numbering import numbered
 ALPHABET = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 TOKEN = "^[0-9A-HJ-KMNP-TV-Z]{1,4}$"
+#: Prefixes that stand for a number that isn't settled yet.
+RESERVED = ("GX", "TGX")
 OWNER = "^[a-z0-9]+([._-][a-z0-9]+)*$"
 IDENTIFIER = "^[0-9A-HJ-KMNP-TV-Z]{1,4}-[0-9A-HJ-KMNP-TV-Z]{1,4}-[1-9A-HJ-KMNP-TV-Z][0-9A-HJ-KMNP-TV-Z]*[0-9A-HJ-KMNP-TV-Z]$"
 
@@ -94,11 +96,25 @@ def never_backwards(sequences: DataFrame, state: DataFrame) -> DataFrame:
 
 def assign(rows: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
     """Gives rows of domain_code and euid_prefix the next sequence numbers of their prefix and their
-    identifiers; ``existing`` has prefix and next_seq. Rows of a prefix are numbered in ``order``."""
-    base = F.coalesce("next_seq", F.lit(1))
-    joined = numbered(rows, "_n", [F.col(c) for c in order], ["euid_prefix"]).join(existing, F.col("euid_prefix") == F.col("prefix"), "left")
-    joined = joined.withColumn("euid_seq", (base + F.col("_n") - 1).cast("long")).drop("_n", "prefix", "next_seq")
-    return joined.withColumn("euid", build(F.col("domain_code"), F.col("euid_prefix"), F.col("euid_seq")))
+    identifiers; ``existing`` has prefix and next_seq. Rows of a prefix are numbered in ``order``.
+
+    Rows that bring an identifier in ``euid`` keep it, if it is valid and of their domain and prefix;
+    else it is an error, as are reserved prefixes. Where a prefix has given identifiers, new ones go on
+    behind the greatest of them.
+    """
+    if "euid" not in rows.columns:
+        rows = rows.withColumn("euid", F.lit(None).cast("string"))
+    reserved = F.when(F.upper(F.trim("euid_prefix")).isin(*RESERVED), F.raise_error(F.lit("a reserved prefix"))).otherwise(F.col("euid_prefix"))
+    given = parse(F.col("euid"))
+    right = is_valid(F.col("euid")) & (given["domain"] == F.upper(F.trim("domain_code"))) & (given["prefix"] == F.upper(F.trim("euid_prefix")))
+    rows = rows.withColumn("euid_prefix", reserved).withColumn("_given", F.when(F.col("euid").isNull(), F.lit(None)).when(right, given["seq"]).otherwise(F.raise_error(F.lit("not an identifier of this domain and prefix"))))
+    highest = rows.where("_given is not null").groupBy(F.col("euid_prefix").alias("_of")).agg((F.max("_given") + 1).alias("_after"))
+    fresh = rows.where("euid is null").drop("_given")
+    base = F.greatest(F.coalesce("next_seq", F.lit(1)), F.coalesce("_after", F.lit(1)))
+    joined = numbered(fresh, "_n", [F.col(c) for c in order], ["euid_prefix"]).join(existing, F.col("euid_prefix") == F.col("prefix"), "left").join(highest, F.col("euid_prefix") == F.col("_of"), "left")
+    joined = joined.withColumn("euid_seq", (base + F.col("_n") - 1).cast("long")).drop("_n", "prefix", "next_seq", "_of", "_after")
+    joined = joined.withColumn("euid", build(F.col("domain_code"), F.col("euid_prefix"), F.col("euid_seq")))
+    return joined.unionByName(rows.where("euid is not null").withColumnRenamed("_given", "euid_seq"))
 
 
 def prefix_kind(prefix: Column, templates: DataFrame) -> DataFrame:

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Checkpoints a frame in the folder that the cluster names; only tests without one get a local folder."""
+    """Checkpoints a frame in the folder that the cluster names; only local mode without one gets a folder of its own."""
     context = frame.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        where = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
     return frame.checkpoint()
 
 

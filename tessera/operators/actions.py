@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 _registry: dict[str, Callable[[dict], str]] = {}
 
 
@@ -37,6 +39,7 @@ def execute(objects: DataFrame, name: str) -> DataFrame:
                     rows.append((row["uid"], "error", str(x)))
             yield pd.DataFrame(rows, columns=["uid", "status", "message"])
 
+    ship(objects.sparkSession)
     return objects.mapInPandas(run, "uid long, status string, message string")
 
 

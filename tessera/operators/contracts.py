@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import json_text, nonblank, object_link
@@ -12,6 +12,26 @@ from ..model import DEFAULT_VALIDATOR, live
 REFERENCE = "struct<system:string,target_system:string,service:string,root_euid:string,target_euid:string,value:string,euid:string,tenant_id:string,base_url:string,graph_data_path:string,object_detail_path_template:string,auth_mode:string,label:string,href:string,relationship_type:string>"
 AUTH_MODES = ("none", "bearer", "session")
 
+# The canonical edge types, and older names of relationships with the type that each stands for.
+EDGE_TYPES = (
+    "ORDER_HAS_TEST", "TEST_HAS_SUBJECT", "ORDERED_AS", "PRODUCT_ALLOWS_PLAN_VERSION", "FULFILLS_TEST", "USES_PLAN_VERSION", "HAS_SLOT", "ACCESSION_OBSERVED", "ACCESSION_LINKS_TEST", "CONTAINS",
+    "HOLDS_MATERIAL", "MATERIAL_FROM_SUBJECT", "SLOT_SATISFIED_BY", "RUN_FOR_FULFILLMENT", "RUN_CONSUMED", "RUN_PRODUCED", "DERIVED_FROM", "DECIDES_ON", "USES_EVIDENCE", "SUPERSEDES",
+)
+EDGE_ALIASES = {
+    "contains_test": "ORDER_HAS_TEST", "order_patient": "TEST_HAS_SUBJECT", "ordered_as": "ORDERED_AS", "product_allows_plan_version": "PRODUCT_ALLOWS_PLAN_VERSION",
+    "fulfillment_run_test": "FULFILLS_TEST", "uses_plan_version": "USES_PLAN_VERSION", "fulfillment_item": "HAS_SLOT", "accession_observed": "ACCESSION_OBSERVED",
+    "accession_links_test": "ACCESSION_LINKS_TEST", "contains": "CONTAINS", "holds_material": "HOLDS_MATERIAL", "material_from_subject": "MATERIAL_FROM_SUBJECT",
+    "fulfills_atlas_test_fulfillment_item": "SLOT_SATISFIED_BY", "belongs_to_test_fulfillment_item": "SLOT_SATISFIED_BY", "run_for_fulfillment": "RUN_FOR_FULFILLMENT",
+    "beta_extraction_run_input": "RUN_CONSUMED", "beta_library_prep_run_input": "RUN_CONSUMED", "beta_pooling_run_input": "RUN_CONSUMED", "beta_sequencing_run_input": "RUN_CONSUMED",
+    "beta_extraction_run_output": "RUN_PRODUCED", "beta_library_prep_run_output": "RUN_PRODUCED", "beta_pooling_run_output": "RUN_PRODUCED", "beta_sequencing_run_output": "RUN_PRODUCED",
+    "derived_from": "DERIVED_FROM", "produced_by_analysis": "DERIVED_FROM", "uses_evidence": "USES_EVIDENCE", "has_external_reference": "USES_EVIDENCE", "amends_result": "SUPERSEDES",
+}
+
+
+def vocabulary(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The canonical types (edge_type) and the aliases (alias, edge_type)."""
+    return spark.createDataFrame([(t,) for t in EDGE_TYPES], "edge_type string"), spark.createDataFrame(list(EDGE_ALIASES.items()), "alias string, edge_type string")
+
 
 def canonical_types(edges: DataFrame, canonical: DataFrame, aliases: DataFrame) -> DataFrame:
     """Adds edge_type: the canonical name of relationship_type, directly or by an alias; else null.

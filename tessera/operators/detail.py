@@ -9,7 +9,7 @@ from ..functions.scalars import iso, json_text, nonblank, template_code
 from ..model import DEFAULT_VALIDATOR, live
 
 # What an object may say about its place in a drawn graph.
-PRESENTATION = ("color", "shape", "size", "icon")
+PRESENTATION = ("role", "expected_fanout_max", "collapse_by_default", "fanout_reason")
 
 
 def clamp(value: int | None, low: int, high: int, default: int) -> int:

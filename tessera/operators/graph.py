@@ -13,7 +13,10 @@ from ..model import live
 MAX_LEVELS = 100
 
 # Display colours of categories.
-COLOURS = {"workflow": "#00FF7F", "workflow_step": "#ADFF2F", "container": "#8B00FF", "content": "#00BFFF", "equipment": "#FF4500", "data": "#FFD700", "actor": "#FF69B4", "action": "#FF8C00", "generic": "#FFFFFF", "geo": "#20B2AA"}
+COLOURS = {
+    "workflow": "#00FF7F", "workflow_step": "#ADFF2F", "container": "#8B00FF", "content": "#00BFFF", "equipment": "#FF4500", "data": "#FFD700", "actor": "#FF69B4", "action": "#FF8C00",
+    "test_requisition": "#FFA500", "health_event": "#DC143C", "file": "#00FF00", "subject": "#9370DB", "lineage": "#C49BFF", "generic": "#888888",
+}
 
 
 def live_edges(lineage: DataFrame) -> DataFrame:

@@ -35,7 +35,11 @@ def claimable(outbox: DataFrame, now: Column, scope: Scope = Scope()) -> DataFra
 
 def claim(outbox: DataFrame, now: Column, token: str, batch_size: int = 50, lease_seconds: int = 300, scope: Scope = Scope()) -> DataFrame:  # noqa: B008
     """The oldest claimable events after the claim. One writer claims at a time."""
-    rows = claimable(outbox, now, scope).orderBy("created_dt", "id").limit(batch_size)
+    return claimed(claimable(outbox, now, scope).orderBy("created_dt", "id").limit(batch_size), now, token, lease_seconds)
+
+
+def claimed(rows: DataFrame, now: Column, token: str, lease_seconds: int = 300) -> DataFrame:
+    """Events as they are once they have been claimed."""
     lease = after(now, lease_seconds)
     return rows.withColumns({
         "status": F.lit("delivering"), "attempt_count": (F.coalesce("attempt_count", F.lit(0)) + 1).cast("int"), "next_attempt_at": lease, "last_error": F.lit(None).cast("string"),

@@ -24,21 +24,22 @@ def query(name: str, sql: str):
     return add
 
 
-@query("object_detail", prelude("instance") + " SELECT uid, euid, 'instance' AS record_type, coalesce(nullif(name, ''), euid) AS display_label, strftime(created_dt, '%Y-%m-%dT%H:%M:%S') AS created, '/lab/object/' || euid AS href, category || '/' || type || '/' || subtype || '/' || version AS code FROM instance WHERE type = 'supplier'")
+@query("object_detail", prelude("instance") + " SELECT uid, euid, 'instance' AS record_type, coalesce(nullif(name, ''), euid) AS display_label, strftime(created_dt, '%Y-%m-%dT%H:%M:%S') AS created, '/lab/object/' || euid AS href, category || '/' || type || '/' || subtype || '/' || version AS code FROM instance")
 def object_detail(spark, d):
     (i,) = model(spark, d, "instance")
-    return detail.object_detail(i.where("type = 'supplier'").withColumn("record_type", F.lit("instance")), "lab")
+    return detail.object_detail(i.withColumn("record_type", F.lit("instance")), "lab")
 
 
-@query("graph_presentation", prelude("instance") + " SELECT uid, NULL::VARCHAR AS color, NULL::VARCHAR AS shape, json_extract_string(json_addl, '$.properties.size') AS size, NULL::VARCHAR AS icon FROM instance WHERE type = 'nation'")
-def graph_presentation(spark, d):
-    (i,) = model(spark, d, "instance")
-    return detail.presentation(i.where("type = 'nation'"), "properties")
+#: JSON of objects with something to say about their place in a drawn graph: all keys, some, none, no object.
+_GRAPH_JSON = """CASE uid % 4 WHEN 0 THEN '{"properties": {"graph": {"role": "hub", "expected_fanout_max": ' || (uid % 9) || ', "collapse_by_default": true, "fanout_reason": "r' || (uid % 5) || '", "color": "red"}}}'
+WHEN 1 THEN '{"properties": {"graph": {"role": "leaf' || (uid % 3) || '"}}}' WHEN 2 THEN json_addl ELSE '{"properties": {"graph": "none"}}' END"""
 
 
-@query("graph_presentation_all", prelude("instance") + " SELECT uid, NULL::VARCHAR AS color, NULL::VARCHAR AS shape, json_extract_string(json_addl, '$.properties.size') AS size, NULL::VARCHAR AS icon FROM instance")
-def graph_presentation_all(spark, d):
-    return detail.presentation(model(spark, d, "instance")[0], "properties")
+@query("graph_presentation", prelude("instance") + """ SELECT uid, CASE WHEN uid % 4 = 0 THEN 'hub' WHEN uid % 4 = 1 THEN 'leaf' || (uid % 3) END AS role, CASE WHEN uid % 4 = 0 THEN (uid % 9)::VARCHAR END AS expected_fanout_max,
+CASE WHEN uid % 4 = 0 THEN 'true' END AS collapse_by_default, CASE WHEN uid % 4 = 0 THEN 'r' || (uid % 5) END AS fanout_reason FROM instance""")
+def graph_presentation(spark, d):
+    (i,) = model(spark, d, "instance")
+    return detail.presentation(i.withColumn("json_addl", F.expr(_GRAPH_JSON)))
 
 
 @query("template_rows", prelude("template") + " SELECT uid, category || '/' || type || '/' || subtype || '/' || version AS code, validator_ref FROM template")

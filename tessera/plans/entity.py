@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import identity, scalars
+from ..functions import identity, packs, scalars
 from ..model import Scope, live, of_kind, visible_to
 from ..operators import audit, contracts, graph, metrics, outbox, search, stats, templates
 from ..sources.star import NOW, check_sql, euid_sql, model, prelude
+from ..streaming import delivery
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -553,7 +554,7 @@ def discriminator_counts(spark, d):
     return of_kind(model(spark, d, "instance")[0], "supplier_instance").agg(F.count("*").alias("n"), F.min("euid").alias("first"))
 
 
-@query("category_colours", prelude("instance") + " SELECT category, CASE category WHEN 'workflow' THEN '#00FF7F' WHEN 'container' THEN '#8B00FF' WHEN 'actor' THEN '#FF69B4' WHEN 'geo' THEN '#20B2AA' END AS colour, count(*) AS n FROM instance GROUP BY ALL")
+@query("category_colours", prelude("instance") + " SELECT category, CASE category WHEN 'workflow' THEN '#00FF7F' WHEN 'container' THEN '#8B00FF' WHEN 'actor' THEN '#FF69B4' ELSE '#888888' END AS colour, count(*) AS n FROM instance GROUP BY ALL")
 def category_colours(spark, d):
     return model(spark, d, "instance")[0].groupBy("category", graph.colour(F.upper("category")).alias("colour")).agg(F.count("*").alias("n"))
 
@@ -613,6 +614,35 @@ def outbox_failed(spark, d):
     return outbox.failed(model(spark, d, "outbox_event")[0]).select("id", "status", "last_attempt_dt")
 
 
+_TURNS = prelude("outbox_event") + f""", one AS (SELECT *, status IN ('pending', 'failed', 'delivering') AND next_attempt_at <= {STAMP} AS due FROM outbox_event WHERE id % 3 <> 0),
+settled1 AS (SELECT id, attempt_count + 1 AS attempts FROM one WHERE due),
+after1 AS (SELECT id, attempts, CASE id % 4 WHEN 0 THEN CASE WHEN attempts >= 10 THEN 'dead_letter' ELSE 'failed' END WHEN 1 THEN 'rejected' ELSE 'processed' END AS status,
+  {STAMP} + to_seconds(least(1800, pow(2, least(attempts, 31)))::BIGINT) AS again FROM settled1),
+two AS (SELECT id, attempt_count AS attempts, status, next_attempt_at AS again FROM outbox_event WHERE id % 3 = 0
+  UNION ALL SELECT id, attempt_count, status, next_attempt_at FROM one WHERE NOT due AND status IN ('pending', 'failed', 'delivering')
+  UNION ALL SELECT id, attempts, status, again FROM after1 WHERE status = 'failed'),
+due2 AS (SELECT *, status IN ('pending', 'failed', 'delivering') AND again <= {STAMP} + INTERVAL 1 HOUR AS due FROM two),
+after2 AS (SELECT id, attempts + 1 AS attempts, CASE id % 4 WHEN 0 THEN CASE WHEN attempts + 1 >= 10 THEN 'dead_letter' ELSE 'failed' END WHEN 1 THEN 'rejected' ELSE 'processed' END AS status FROM due2 WHERE due)"""
+
+
+@query("outbox_dispatch_turns", _TURNS + """ SELECT id, 1 AS turn, status, attempts AS attempt_count FROM after1 UNION ALL SELECT id, 2, status, attempts FROM after2
+UNION ALL SELECT id, 3, status, attempts FROM due2 WHERE NOT due AND status IN ('pending', 'failed', 'delivering') UNION ALL SELECT id, 3, status, attempts FROM after2 WHERE status = 'failed'""")
+def outbox_dispatch_turns(spark, d):
+    """Two turns of the dispatch loop an hour apart, and (as turn 3) what waits after them."""
+    (o,) = model(spark, d, "outbox_event")
+    waiting, turns = None, []
+    for turn, incoming in ((1, o.where("id % 3 <> 0")), (2, o.where("id % 3 = 0"))):
+        at = outbox.after(F.lit(NOW).cast("timestamp_ntz"), 3600 * (turn - 1))
+        pool = delivery.pooled(waiting, incoming)
+        claimed = outbox.claimed(outbox.claimable(pool, at), at, f"batch-{turn}")
+        kind = F.col("id") % 4
+        results = claimed.select("id", F.when(kind == 0, "failed").when(kind == 1, "rejected").otherwise("processed").alias("outcome"), F.when(kind < 2, "no").alias("error"))
+        settled = outbox.settle(claimed, results, at)
+        waiting = delivery.still_waiting(pool, settled)
+        turns.append(settled.select("id", F.lit(turn).alias("turn"), "status", "attempt_count"))
+    return turns[0].unionByName(turns[1]).unionByName(waiting.select("id", F.lit(3).alias("turn"), "status", "attempt_count"))
+
+
 @query("outbox_stale", prelude("outbox_event") + f" SELECT id, claimed_dt FROM outbox_event WHERE status = 'delivering' AND lease_expires_dt < {STAMP}")
 def outbox_stale(spark, d):
     return outbox.stale(model(spark, d, "outbox_event")[0], now()).select("id", "claimed_dt")
@@ -740,18 +770,24 @@ def prefix_kinds(spark, d):
 
 # Contracts, assessments, references
 
-def _vocabulary(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame([("CONTAINS",), ("DERIVED_FROM",)], "edge_type string"), spark.createDataFrame([("placed", "ORDERED_AS"), ("contains", "CONTAINS")], "alias string, edge_type string")
-
-
 @query("edge_contract_status", prelude("lineage") + """, m AS (SELECT uid, relationship_type, CASE uid % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS kind FROM lineage)
-SELECT relationship_type, CASE kind WHEN 1 THEN 'canonical' WHEN 2 THEN 'invalid' ELSE CASE WHEN relationship_type IN ('contains', 'placed') THEN 'legacy_alias' ELSE 'generic' END END AS compliance_status, count(*) AS n FROM m GROUP BY ALL""")
+SELECT relationship_type, CASE kind WHEN 1 THEN 'canonical' WHEN 2 THEN 'invalid' ELSE CASE WHEN relationship_type = 'contains' THEN 'legacy_alias' ELSE 'generic' END END AS compliance_status, count(*) AS n FROM m GROUP BY ALL""")
 def edge_contract_status(spark, d):
     (e,) = model(spark, d, "lineage")
     good = '{"edge_type": "CONTAINS", "source_euid": "a", "target_euid": "b", "asserted_by_system": "lims", "evidence_refs": ["x"]}'
     bad = '{"edge_type": "CONTAINS", "source_euid": "a", "target_euid": " ", "asserted_by_system": "lims", "evidence_refs": ["x"]}'
     rows = e.withColumn("metadata", F.when(F.col("uid") % 5 == 0, good).when(F.col("uid") % 5 == 1, bad))
-    return contracts.contract_status(rows, *_vocabulary(spark)).groupBy("relationship_type", "compliance_status").agg(F.count("*").alias("n"))
+    return contracts.contract_status(rows, *contracts.vocabulary(spark)).groupBy("relationship_type", "compliance_status").agg(F.count("*").alias("n"))
+
+
+_EDGE_NAMES = ["Fulfillment_Item", "beta_pooling_run_output", "amends_result", "run-consumed", " derived_from ", "placed", "has_external_reference", "decides_on"]
+
+
+@query("edge_canonical_types", prelude("lineage") + """ SELECT (uid % 8)::BIGINT AS name, ['HAS_SLOT', 'RUN_PRODUCED', 'SUPERSEDES', 'RUN_CONSUMED', 'DERIVED_FROM', NULL, 'USES_EVIDENCE', 'DECIDES_ON'][(uid % 8 + 1)::INT] AS edge_type, count(*) AS n FROM lineage GROUP BY ALL""")
+def edge_canonical_types(spark, d):
+    (e,) = model(spark, d, "lineage")
+    named = e.select((F.col("uid") % 8).alias("name"), F.element_at(F.array(*map(F.lit, _EDGE_NAMES)), (F.col("uid") % 8 + 1).cast("int")).alias("relationship_type"))
+    return contracts.canonical_types(named, *contracts.vocabulary(spark)).groupBy("name", "edge_type").agg(F.count("*").alias("n"))
 
 
 @query("assessments", prelude("template", "instance") + """ SELECT coalesce(t.validator_ref, 'UNIVERSAL_PASS@1') AS validator_ref, CASE WHEN coalesce(t.validator_ref, 'UNIVERSAL_PASS@1') = 'UNIVERSAL_PASS@1' THEN 'valid_current' ELSE 'not_evaluated_current' END AS state, count(*) AS n
@@ -776,11 +812,21 @@ def external_refs(spark, d):
 
 # Templates
 
+_PACK_JSON = """concat('{"name": "', p_name, '", "action_imports": {"core": {"actions": {"act/a/', p_partkey, '/1": {}, "act/b/x/1": {}}}, "plain": "act/c/', p_size, '/1"}, "expected_inputs": ["in/', p_size, '/x/1"], "instantiation_layouts": ',
+'[{"child_templates": ["kid/a/', p_partkey, '/1", {"template_code": "kid/b/x/1"}, {"other": 1}]}, {"relationship_type": "none"}], "json_addl": {"expected_outputs": ["out/', p_partkey, '/x/1"], "instantiation_layouts": [{"child_templates": ["kid/c/x/1"]}]}}')"""
+
+
+@query("template_references", "SELECT p_partkey AS k, unnest(['act/a/' || p_partkey || '/1', 'act/b/x/1', 'act/c/' || p_size || '/1', 'in/' || p_size || '/x/1', 'kid/a/' || p_partkey || '/1', 'kid/b/x/1', 'out/' || p_partkey || '/x/1', 'kid/c/x/1']) AS ref FROM part")
+def template_references(spark, d):
+    (p,) = model(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("k"), F.explode(packs.extracted_refs(F.expr(_PACK_JSON))).alias("ref"))
+
+
 @query("template_ref_missing", """WITH p(code, ref) AS (VALUES ('a/b/c/1', 'a/b/c/2'), ('a/b/c/2', 'x/y/z/1'), ('a/b/c/2', 'x/*/z/1'), ('a/b/c/2', 'x/y'))
 SELECT code, ref, CASE WHEN ref = 'x/y' THEN 'error' ELSE 'warning' END AS level FROM p WHERE ref NOT LIKE '%*%' AND ref NOT IN (SELECT code FROM p)""")
 def template_ref_missing(spark, d):
-    packs = spark.createDataFrame([("s", "a", "b", "c", "1", ["a/b/c/2"]), ("s", "a", "b", "c", "2", ["x/y/z/1", "x/*/z/1", "x/y"])], "source string, category string, type string, subtype string, version string, refs array<string>")
-    return templates.missing_references(packs).select("code", "ref", "level")
+    rows = spark.createDataFrame([("s", "a", "b", "c", "1", ["a/b/c/2"]), ("s", "a", "b", "c", "2", ["x/y/z/1", "x/*/z/1", "x/y"])], "source string, category string, type string, subtype string, version string, refs array<string>")
+    return templates.missing_references(rows).select("code", "ref", "level")
 
 
 @query("layout_children", """SELECT 1 AS depth, 12::BIGINT * count(*) AS n FROM nation UNION ALL SELECT 2, 12::BIGINT * 8 * count(*) FROM nation""")

@@ -5,22 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.packs import extracted_refs
 from ..functions.scalars import sanitized, two_weeks_from
 from ..model import SCHEMAS
 
-PACK = """templates ARRAY<STRUCT<name: STRING, polymorphic_discriminator: STRING, category: STRING, type: STRING, subtype: STRING, version: STRING,
-instance_prefix: STRING, instance_polymorphic_identity: STRING, validator_ref: STRING, refs: ARRAY<STRING>>>, _corrupt STRING"""
+PACK = "templates ARRAY<STRING>, _corrupt STRING"
+TEMPLATE = """name STRING, polymorphic_discriminator STRING, category STRING, type STRING, subtype STRING, version STRING,
+instance_prefix STRING, instance_polymorphic_identity STRING, validator_ref STRING, bstatus STRING, is_singleton BOOLEAN"""
 
 
 def template_packs(spark: SparkSession, *folders: str) -> DataFrame:
-    """The templates of all packs (JSON files) with their source file.
+    """The templates of all packs (JSON files) with their source file, their JSON and the codes that they refer to.
 
-    Files and folders whose name begins with _ are skipped, and so are files that can't be parsed.
+    Files, and files in a folder, whose name begins with _ are skipped, and so are files that can't be
+    parsed (``unreadable_packs``) and list items that are no objects.
     """
     read = spark.read.schema(PACK).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
     packs = read.json(list(folders)).withColumn("source", F.input_file_name())
-    packs = packs.where(F.col("_corrupt").isNull() & ~F.col("source").rlike("/_[^/]*"))
-    return packs.select("source", F.explode("templates").alias("t")).select("source", "t.*")
+    packs = packs.where(F.col("_corrupt").isNull() & ~F.col("source").rlike("/_[^/]*(/[^/]*)?$"))
+    each = packs.select("source", F.explode("templates").alias("json")).where(F.ltrim("json").startswith("{"))
+    return each.select("source", F.from_json("json", TEMPLATE).alias("t"), "json").select("source", "t.*", "json", extracted_refs(F.col("json")).alias("refs"))
+
+
+def unreadable_packs(spark: SparkSession, *folders: str) -> DataFrame:
+    """source, level, message of packs that aren't JSON objects with a list of templates."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(list(folders), wholetext=True).withColumn("source", F.input_file_name())
+    text = text.where(~F.col("source").rlike("/_[^/]*(/[^/]*)?$"))
+    parsed = F.try_parse_json("value")
+    message = F.when(parsed.isNull(), "Invalid JSON").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "Config root must be an object")
+    message = message.when(F.expr("coalesce(schema_of_variant(variant_get(try_parse_json(value), '$.templates')), '') NOT LIKE 'ARRAY%'"), "templates must be a list")
+    return text.select("source", F.lit("error").alias("level"), message.alias("message")).where("message is not null")
 
 
 def domain_registry(spark: SparkSession, path: str) -> DataFrame:

@@ -191,6 +191,54 @@ def test_dispatch_settles_a_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "attempts")).count() == 5
 
 
+def test_dispatch_keeps_what_waits(spark, tmp_path):
+    schema = "id long, domain_code string, issuer_app_code string, destination string, dedupe_key string, status string, attempt_count int, next_attempt_at timestamp_ntz, last_error string, created_dt timestamp_ntz, last_attempt_dt timestamp_ntz"
+    start = datetime.datetime(2024, 6, 1)
+    minutes = lambda n: start + datetime.timedelta(minutes=n)
+    event = lambda i, due, status="pending": (i, "Z", "x", "d", f"k{i}", status, 0, due, None, start, None)
+    clock = [0]
+    now = lambda: F.lit(str(minutes(clock[0]))).cast("timestamp_ntz")
+    tries = tmp_path / "tries"
+    tries.mkdir()
+
+    def send(e):
+        if e["id"] == 3:  # down twice, then up
+            n = len(list(tries.iterdir()))
+            (tries / str(n)).touch()
+            if n < 2:
+                raise RuntimeError("down")
+        return "processed", ""
+
+    def turn(at, rows):
+        clock[0] = at
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run = delivery.dispatch(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), send, str(tmp_path / "state"), str(tmp_path / "attempts"), now)
+        run.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+
+    # due; due later; fails twice; in delivery with a lease to run; decided already
+    turn(0, [event(1, minutes(-1)), event(2, minutes(30)), event(3, minutes(-1)), event(4, minutes(20), "delivering"), event(5, minutes(-1), "canceled")])
+    turn(10, [event(9, minutes(-1)), event(2, minutes(-1))])  # the second 2 is a repeat of an event that waits
+    turn(40, [event(10, minutes(100))])
+    settled = sorted((r["batch"], r["id"], r["status"], r["attempt_count"]) for r in spark.read.parquet(str(tmp_path / "state/settled")).collect())
+    assert settled == [(0, 1, "processed", 1), (0, 3, "failed", 1), (0, 5, "canceled", 0), (1, 3, "failed", 2), (1, 9, "processed", 1), (2, 2, "processed", 1), (2, 3, "processed", 3), (2, 4, "processed", 1)]
+    assert [r["id"] for r in spark.read.parquet(str(tmp_path / "state/waiting/batch=2")).collect()] == [10]
+    assert spark.read.parquet(str(tmp_path / "attempts")).count() == 7
+
+
+def test_given_identifiers_and_reserved_prefixes(spark):
+    none = spark.createDataFrame([("AGX", 5)], "prefix string, next_seq long")
+    rows = [("Z", "AGX", 1, None), ("Z", "AGX", 2, None), ("Z", "CGX", 3, None)]
+    got = identity.assign(spark.createDataFrame(rows, "domain_code string, euid_prefix string, k int, euid string"), none, ["k"])
+    numbers = {r["k"]: r["euid_seq"] for r in got.collect()}
+    assert numbers == {1: 5, 2: 6, 3: 1}
+    valid = got.where("k = 2").first()["euid"]
+    again = identity.assign(spark.createDataFrame([("Z", "AGX", 1, valid), ("Z", "AGX", 2, None)], "domain_code string, euid_prefix string, k int, euid string"), none, ["k"])
+    assert {r["k"]: (r["euid"] == valid, r["euid_seq"]) for r in again.collect()} == {1: (True, 6), 2: (False, 7)}
+    for row in (("Z", "GX", 1, None), ("Z", "TGX", 1, None), ("Z", "CGX", 1, valid), ("Z", "AGX", 1, valid[:-1] + ("0" if valid[-1] != "0" else "1"))):
+        with pytest.raises(Exception, match="reserved|not an identifier"):
+            identity.assign(spark.createDataFrame([row], "domain_code string, euid_prefix string, k int, euid string"), none, ["k"]).collect()
+
+
 def test_actions(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None)], "uid long, name string")
 
@@ -207,11 +255,13 @@ def test_actions(spark):
 
 def test_files(spark, tmp_path):
     packs = tmp_path / "packs"
-    for name, text in {"a.json": {"templates": [{"name": "n", "category": "c", "refs": ["x/y/z/1"]}, {"name": "m"}]}, "_skip.json": {"templates": [{"name": "no"}]}}.items():
+    for name, text in {"a.json": {"templates": [{"name": "n", "category": "c", "expected_inputs": ["x/y/z/1"]}, {"name": "m"}, 7]}, "_skip.json": {"templates": [{"name": "no"}]}, "list.json": [1], "none.json": {"templates": 5}}.items():
         packs.mkdir(exist_ok=True)
         (packs / name).write_text(json.dumps(text))
     (packs / "broken.json").write_text("{")
     assert pairs(files.template_packs(spark, str(packs)), "name") == [("m",), ("n",)]
+    assert [r["refs"] for r in files.template_packs(spark, str(packs)).orderBy("name").collect()] == [[], ["x/y/z/1"]]
+    assert sorted(r["message"] for r in files.unreadable_packs(spark, str(packs)).collect()) == ["Config root must be an object", "Invalid JSON", "templates must be a list"]
     (tmp_path / "reg.json").write_text(json.dumps({"ownership": {"Z": {"AGX": "lab"}}, "domains": {"Z": "main"}}))
     assert pairs(files.prefix_registry(spark, str(tmp_path / "reg.json")), "domain", "prefix", "owner") == [("Z", "AGX", "lab")]
     assert pairs(files.domain_registry(spark, str(tmp_path / "reg.json")), "domain") == [("Z",)]
