@@ -25,15 +25,34 @@ def json_pairs(json: Column) -> Column:
     return F.from_json(json, "map<string,string>")
 
 
+def json_values(json: Column) -> Column:
+    """A JSON object as a map of values that keep their types."""
+    return F.from_json(json, "map<string,variant>")
+
+
 def json_merged(left: Column, right: Column) -> Column:
-    """Shallow merge of two JSON objects, the right one wins."""
-    a, b = json_pairs(left), json_pairs(right)
+    """Shallow merge of two JSON objects, the right one wins; values of any type stay as they are."""
+    a, b = json_values(left), json_values(right)
     return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.array_contains(F.map_keys(b), k)), b))
 
 
-def json_with(json: Column, key: str, value: Column) -> Column:
-    """The JSON object with one key set; null values are written as empty."""
-    return json_merged(F.coalesce(json, F.lit("{}")), F.to_json(F.create_map(F.lit(key), value)))
+def json_with(json: Column, path: str, value: Column) -> Column:
+    """The JSON object with the value at a path of keys set, null included; the last key may be new.
+
+    Where a key before the last one is no object the JSON stays as it is; a null JSON counts as empty.
+    """
+    base, (key, *rest) = F.coalesce(json, F.lit("{}")), path.split(".")
+    if not rest:
+        return json_merged(base, F.to_json(F.create_map(F.lit(key), value)))
+    inner = F.get_json_object(base, f"$.{key}")
+    changed = json_merged(base, F.to_json(F.create_map(F.lit(key), F.parse_json(json_with(inner, ".".join(rest), value)))))
+    return F.when(F.ltrim(inner).startswith("{"), changed).otherwise(base)
+
+
+def json_sorted(json: Column) -> Column:
+    """A JSON object with the keys of all levels in order; ``{}`` for anything else."""
+    parsed = F.try_parse_json(json)
+    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), F.to_json(parsed)).otherwise(F.lit("{}"))
 
 
 def lenient_bool(value: Column, default: bool) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import json_text, nonblank, object_link
+from ..functions.scalars import json_merged, json_text, nonblank, object_link
 from ..model import DEFAULT_VALIDATOR, live
 
 #: What an external reference's JSON may hold.
@@ -59,6 +59,20 @@ def contract_status(edges: DataFrame, canonical: DataFrame, aliases: DataFrame)
     return stated.withColumn("compliance_status", status).drop("_stated")
 
 
+def evidence(refs: Column) -> Column:
+    """A JSON list of evidence as objects with an euid: texts become one, objects may name it root_euid.
+
+    Null for what is no list, is empty, or has an item that names nothing.
+    """
+    items = F.from_json(refs, "array<variant>")
+    text = lambda v, path: F.trim(F.try_variant_get(v, path, "string"))
+    object_ = lambda v: F.schema_of_variant(v).startswith("OBJECT")
+    named = lambda v: F.when(object_(v), F.coalesce(F.nullif(text(v, "$.euid"), F.lit("")), text(v, "$.root_euid"))).when(F.schema_of_variant(v) == "STRING", text(v, "$"))
+    good = (F.size(items) > 0) & F.forall(items, lambda v: F.coalesce(named(v), F.lit("")) != "")
+    whole = lambda v: F.when(object_(v), F.parse_json(json_merged(F.to_json(v), F.to_json(F.create_map(F.lit("euid"), named(v)))))).otherwise(F.parse_json(F.to_json(F.create_map(F.lit("euid"), named(v)))))
+    return F.when(F.ltrim(refs).startswith("[") & good, F.transform(items, whole))
+
+
 def creation_guard(edges: DataFrame, canonical: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges that may be created, and those refused: a canonical name needs metadata."""
     named = edges.join(canonical.select(F.col("edge_type").alias("_strict")), F.col("relationship_type") == F.col("_strict"), "left")

@@ -42,6 +42,9 @@ def graph_presentation(spark, d):
     return detail.presentation(i.withColumn("json_addl", F.expr(_GRAPH_JSON)))
 
 
+QUERIES["graph_presentation_all"], ORACLES["graph_presentation_all"] = QUERIES["graph_presentation"], ORACLES["graph_presentation"]
+
+
 @query("template_rows", prelude("template") + " SELECT uid, category || '/' || type || '/' || subtype || '/' || version AS code, validator_ref FROM template")
 def template_rows(spark, d):
     return detail.template_rows(*model(spark, d, "template"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tessera.functions import identity, scalars
 from tessera.model import Scope
-from tessera.operators import actions, audit, contracts, graph, outbox, search, stats, templates
+from tessera.operators import actions, audit, contracts, graph, objects, outbox, search, stats, templates
 from tessera.plans import entity
 from tessera.sources import files
 from tessera.streaming import delivery
@@ -48,6 +48,9 @@ def test_scalar_vectors(spark):
     assert day("2026-01-05 12:00:00") == datetime.date(2025, 12, 29) and day("2026-01-12 12:00:00") == datetime.date(2026, 1, 12)
     assert value(spark, scalars.statement_kind(F.lit("UPDATE foo x"))) == "UPDATE" and value(spark, scalars.statement_kind(F.lit("VACUUM"))) == "OTHER"
     assert json.loads(value(spark, scalars.json_merged(F.lit('{"a":"1","b":"2"}'), F.lit('{"b":"3"}')))) == {"a": "1", "b": "3"}
+    assert json.loads(value(spark, scalars.json_merged(F.lit('{"a":1.5,"b":[true,null],"c":{"d":1}}'), F.lit('{"c":null}')))) == {"a": 1.5, "b": [True, None], "c": None}
+    assert json.loads(value(spark, scalars.json_with(F.lit('{"a":{"b":1}}'), "a.c", F.lit(None).cast("string")))) == {"a": {"b": 1, "c": None}}
+    assert json.loads(value(spark, scalars.json_with(F.lit('{"a":5}'), "a.c", F.lit(1)))) == {"a": 5}
     assert value(spark, scalars.lenient_bool(F.lit(" Yes "), False)) and not value(spark, scalars.lenient_bool(F.lit("off"), True)) and value(spark, scalars.lenient_bool(F.lit("?"), True))
     assert value(spark, scalars.discriminator_of(F.lit(" "), F.lit("tube_template"))) == "tube_instance"
     assert value(spark, scalars.child_name(F.lit("{parent_name}_well_{index}"), parent_name=F.lit("P"), index=F.lit(3))) == "P_well_3"
@@ -239,6 +242,23 @@ def test_given_identifiers_and_reserved_prefixes(spark):
             identity.assign(spark.createDataFrame([row], "domain_code string, euid_prefix string, k int, euid string"), none, ["k"]).collect()
 
 
+def test_objects(spark):
+    t = spark.createDataFrame([(1, "E1", "c", "t", "s", "1", False, None, "generic_template", False, None)], "uid long, euid string, category string, type string, subtype string, version string, is_singleton boolean, instance_polymorphic_identity string, polymorphic_discriminator string, is_deleted boolean, json_addl string")
+    wanted = spark.createDataFrame([(1, "c/t/s/1", "n", None, None)], "key long, code string, name string, properties string, tenant_id string")
+    made = objects.instances(wanted, t).first()
+    assert json.loads(made["json_addl"]) == {"properties": {}, "action_groups": {}, "audit_log": []} and (made["bstatus"], made["polymorphic_discriminator"]) == ("created", "generic_instance")
+    with pytest.raises(Exception, match="Template not found"):
+        objects.instances(wanted.withColumn("code", F.lit("x/y/z/1")), t).collect()
+    with pytest.raises(ValueError, match="depth"):
+        objects.graph_meta(t, "lab", 11)
+    state = spark.createDataFrame([("E1", "template", "a"), ("E2", "instance", "b")], "euid string, record_type string, bstatus string")
+    edits = objects.edited(state, spark.createDataFrame([("E1", "x"), ("E2", " y "), ("E3", "z"), ("E2", None)], "euid string, value string"), "bstatus")
+    assert pairs(objects.with_edits(state, edits, "bstatus"), "euid", "bstatus") == [("E1", "a"), ("E2", "y")]
+    plain = spark.createDataFrame([(1, "a")], "uid long, name string")
+    after, rows = objects.recorded("outbox_event", plain, plain.where("false"), ["name"], F.current_timestamp())
+    assert after.count() == 0 and rows.count() == 0
+
+
 def test_actions(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None)], "uid long, name string")
 
