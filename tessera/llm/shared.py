@@ -7,12 +7,12 @@ import gc
 import tempfile
 import time
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship  # noqa: F401 - for the operators
+
 #: White space of the word rule: a word is a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,23 +23,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package's modules to the executors' Python workers, once per application."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parent.parent
-        archive = Path(tempfile.mkdtemp(prefix="modules-")) / f"{package.name}.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for path in sorted(package.rglob("*.py")):
-                out.write(path, path.relative_to(package.parent))
-        context.addPyFile(str(archive))
-        _shipped.add(context.applicationId)
-    return spark
-
-
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")
