@@ -52,9 +52,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return per.select("source", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(F.col("first_free.rate") * F.col("weight")).alias("target"))
 
 
-def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
+def thresholds(sizes: DataFrame, wanted: DataFrame, tables: Tables) -> DataFrame:
     """Per source: whole (times that every document is taken), rest (tokens still due), edge (the hash
-    in which the rest ends), below (tokens of smaller hashes) and at_edge (tokens of that hash)."""
+    in which the rest ends), below (tokens of smaller hashes) and at_edge (tokens of that hash).
+
+    ``wanted`` and each level's result are written tables of one row per source: Spark knows their size
+    and moves them to the documents, whose rows stay where they are.
+    """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     found = wanted.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     found = found.withColumn("edge", F.lit(0).cast("long")).withColumn("below", F.lit(0).cast("long"))
@@ -73,6 +77,7 @@ def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
         found = sums.groupBy("source", *columns).agg(F.min(over).alias("x")).select(
             "source", *columns, F.col("x.bucket").alias("edge"), (F.col("x.upto") - F.col("x.tokens")).alias("below"), F.col("x.tokens").alias("at_edge")
         )
+        found = tables.keep(found, f"level-{level}")
     # no bucket of a source without words exceeds its budget of 0: it keeps its row, and takes nothing
     ends = found.select(F.col("source").alias("_ends"), "edge", "below", "at_edge")
     every = wanted.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -91,7 +96,9 @@ def mix(docs: DataFrame, keep: list[str], **options) -> DataFrame:
     measured = docs.select(*keep, F.col("source").alias("_source"), F.size(words_of(F.col("text"))).cast("long").alias("size"), hash_of(F.col("doc_id")).alias("_hash"))
     measured = tables.keep(measured, "sizes")
     sizes = measured.select(F.col("_source").alias("source"), "size", F.col("_hash").alias("hash"))
-    edges = thresholds(sizes, targets(sizes, **options)).withColumnRenamed("source", "_of")
+    edges = thresholds(sizes, tables.keep(targets(sizes, **options), "targets"), tables).withColumnRenamed("source", "_of")
+    edges = tables.keep(edges, "edges")
+    tables.drop("targets", *[f"level-{level}" for level in range(1, LEVELS + 1)])
     joined = measured.join(edges, F.col("_source").eqNullSafe(F.col("_of")), "left")
     nearer = F.col("below") + F.col("at_edge") - F.col("rest") < F.col("rest") - F.col("below")
     extra = (F.col("_hash") < F.col("edge")) | ((F.col("_hash") == F.col("edge")) & nearer)
