@@ -3,6 +3,10 @@
 Every stage takes the rows that the stage before it has kept, as a Parquet table, and its decisions
 take effect: rejected documents go, one document of each near-duplicate group stays, personal data
 is replaced, sources are mixed to their weights, and the last stage returns tokens.
+
+In every stage null and empty texts count as empty (the quality rules reject them), texts are read whole
+whatever their length, repeated rows share a fate, an empty table gives an empty result, and extra
+columns pass untouched, whatever their names; the operators' docstrings say the rest.
 """
 
 from __future__ import annotations
