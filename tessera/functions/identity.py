@@ -29,17 +29,40 @@ def decode32(body: Column) -> Column:
     return F.when(body.rlike(f"^[{ALPHABET}]+$") & (number > 0), number)
 
 
+def _total(payload: Column, doubled: int = 0) -> Column:
+    """Sum of a payload's values from the right, every other one doubled, the first if ``doubled`` is 0."""
+    values = F.transform(F.split(F.reverse(payload), ""), lambda c, i: (F.instr(F.lit(ALPHABET), c) - 1) * F.when(i % 2 == doubled, 2).otherwise(1))
+    return F.aggregate(values, F.lit(0), lambda a, p: a + (p / 32).cast("int") + p % 32)
+
+
+def _letter(total: Column) -> Column:
+    return F.substr(F.lit(ALPHABET), ((32 - total % 32) % 32 + 1).cast("int"), F.lit(1))
+
+
 def check_character(payload: Column) -> Column:
     """Check character of a payload in the alphabet: from the right, every other value counts twice."""
-    values = F.transform(F.split(F.reverse(payload), ""), lambda c, i: (F.instr(F.lit(ALPHABET), c) - 1) * F.when(i % 2 == 0, 2).otherwise(1))
-    total = F.aggregate(values, F.lit(0), lambda a, p: a + (p / 32).cast("int") + p % 32)
-    return F.substr(F.lit(ALPHABET), (32 - total % 32) % 32 + 1, F.lit(1))
+    return _letter(_total(payload))
+
+
+def _body_total(number: Column) -> tuple[Column, Column]:
+    """The sum over the digits of a body from its number, by shifts alone, and whether the body has an odd length."""
+    digits = [F.shiftright(number, 5 * k).bitwiseAND(31) for k in range(13)]
+    total = sum((d * 2 - F.shiftright(d, 4) * 31 if k % 2 == 0 else d for k, d in enumerate(digits)), F.lit(0).cast("long"))
+    longer = sum(((number >= 32**k).cast("int") for k in range(1, 13)), F.lit(1))
+    return total, longer % 2 == 1
 
 
 def build(domain: Column, prefix: Column, seq: Column) -> Column:
-    """DOMAIN-PREFIX-BODY and the check character over the three."""
-    domain, prefix, body = F.upper(F.trim(domain)), F.upper(F.trim(prefix)), encode32(seq)
-    return F.concat(domain, F.lit("-"), prefix, F.lit("-"), body, check_character(F.concat(domain, prefix, body)))
+    """DOMAIN-PREFIX-BODY and the check character over the three.
+
+    The body's part of the check is computed from the number; domain and prefix are few letters, whose
+    part is folded where they are constants.
+    """
+    domain, prefix = F.upper(F.trim(domain)), F.upper(F.trim(prefix))
+    lead = F.concat(domain, prefix)
+    total, odd = _body_total(seq.cast("long"))
+    total = total + F.when(odd, _total(lead, 1)).otherwise(_total(lead))
+    return F.concat(domain, F.lit("-"), prefix, F.lit("-"), encode32(seq), _letter(total))
 
 
 def parse(euid: Column) -> Column:

@@ -34,6 +34,17 @@ def test_identifier_vectors(spark):
         value(spark, identity.encode32(F.lit(0)))
 
 
+def test_identifiers_have_the_check_of_their_payload(spark):
+    """The check from the number equals the one over the letters, for bodies of every length."""
+    numbers = sorted({n for k in range(1, 64) for n in (2**k - 1, 2**k, 2**k + 12345, 3 * 2**k // 5 + 1) if 0 < n < 2**63})
+    rows = spark.createDataFrame([(d, p, n) for n in numbers for d, p in (("Z", "AGX"), ("t", " RGN "), ("AB", "Q"))], "d string, p string, n long")
+    plain = identity.check_character(F.concat(F.upper("d"), F.upper(F.trim("p")), identity.encode32(F.col("n"))))
+    made = rows.select(identity.build(F.col("d"), F.col("p"), F.col("n")).alias("euid"), plain.alias("check"))
+    assert made.count() == 3 * len(numbers) and made.where("right(euid, 1) <> check or check is null or euid is null").count() == 0
+    assert made.where(~identity.is_valid(F.col("euid"))).count() == 0
+    assert value(spark, identity.build(F.lit("Z"), F.lit("AGX"), F.lit(None).cast("long"))) is None
+
+
 def test_tokens(spark):
     assert [value(spark, identity.normal_token(F.lit(t))) for t in ("z", "tapd", "a1", "agx", "")] == ["Z", "TAPD", "A1", "AGX", None]
     for bad in ("IL", "A-1", "ABCDE", "AIO"):
