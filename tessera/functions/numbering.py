@@ -1,4 +1,4 @@
-"""Row numbers without one task that sees all rows, or all rows of a key."""
+"""Row numbers without one task that sees all rows, or all rows of a key; rows dealt by their number."""
 
 from __future__ import annotations
 
@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that a task sorts or holds at once, where rows are dealt by their number.
+ROWS_A_TASK = 250_000
+#: Identifiers that are sent to the rows, instead of shuffling the rows.
+FEW = 500_000
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Checkpoints a frame in the folder that the cluster names; only local mode without one gets a folder of its own."""
     context = frame.sparkSession.sparkContext
@@ -19,6 +25,25 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def dealt(frame: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """The frame dealt by keys (or evenly) to as many tasks as a number of rows asks for.
+
+    So what a task sorts or holds doesn't grow with the table. Partitions of a shuffle that Spark adds by
+    itself are merged again by their compressed size, which for keys is a small part of what they take in memory.
+    """
+    least = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(max(least, -(-rows // ROWS_A_TASK)), *keys)
+
+
+def among(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose column is one of the ids (uid), a frame that has been cut.
+
+    Up to FEW ids (counted) are sent to the rows, where the choice is made as they are read.
+    """
+    ids = ids.select(F.col("uid").alias(column))
+    return frame.join(F.broadcast(ids) if ids.count() <= FEW else ids, column, "left_semi").select(*frame.columns)
+
+
 def numbered(frame: DataFrame, name: str, order: list[Column], within: list[str] | None = None) -> DataFrame:
     """The rows with their number from 1 on in ascending ``order``, within each combination of ``within`` if given.
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbering import dealt
 from ..functions.scalars import clean, discriminator_of, iso, json_merged, json_sorted, json_text, nonblank, template_code
 from ..model import live
 from . import audit
@@ -104,16 +108,32 @@ def recorded(name: str, old: DataFrame, new: DataFrame, columns: list[str], now:
 
     New rows are recorded, changed ones column by column, and get the time of change; rows that are
     gone stay, flagged as deleted. Tables outside AUDITED change without any of this.
+
+    Both states meet once, dealt by uid to as many tasks as their rows ask for.
     """
     empty = lambda frame: frame.select("uid", "operation_type", *[F.col(c) if c in frame.columns else F.lit(None).cast("string").alias(c) for c in ("column_name", "old_value", "new_value")])
     if name not in AUDITED:
         return new, empty(audit.update_rows(old, old, columns).limit(0))
-    gone = old.select("uid").join(new.select("uid"), "uid", "left_anti")
-    lost, deletions = audit.soft_delete(old.join(gone, "uid", "left_semi"), gone)
-    stamps = audit.touched(old, new, columns, now).select("uid", F.col("modified_dt").alias("_stamp"))
-    after = new.join(stamps, "uid", "left").withColumn("modified_dt", F.coalesce("_stamp", "modified_dt")).select(*new.columns)
-    rows = empty(audit.insert_rows(old, new)).unionByName(empty(audit.update_rows(old, new, columns))).unionByName(empty(deletions))
-    return after.unionByName(lost.select(*new.columns)), rows
+    n = old.count() + new.count()
+    before = dealt(old.select(*[F.col(c).alias(f"_old_{c}") for c in old.columns], F.lit(True).alias("_old")), n, "_old_uid")
+    now_there = dealt(new.select(*[F.col(c).alias(f"_new_{c}") for c in new.columns], F.lit(True).alias("_new")), n, "_new_uid")
+    both = before.join(now_there, F.col("_old_uid") == F.col("_new_uid"), "full")
+    made, gone = F.col("_old").isNull(), F.col("_new").isNull()
+    differs = [~made & ~gone & ~F.col(f"_old_{c}").eqNullSafe(F.col(f"_new_{c}")) for c in columns]
+    after = {c: F.when(gone, F.col(f"_old_{c}")).otherwise(F.col(f"_new_{c}")) for c in new.columns}
+    stamp = F.when(reduce(or_, differs, F.lit(False)), F.coalesce(now, "_new_modified_dt")).otherwise(F.col("_new_modified_dt"))
+    after |= {"is_deleted": gone | F.col("_new_is_deleted"), "modified_dt": F.when(gone, F.col("_old_modified_dt")).otherwise(stamp)}
+    # What happened to a row, as numbers, so that values are made from plain columns and unused ones aren't shuffled.
+    marks = [F.when(made, -2), F.when(gone & ~F.col("_old_is_deleted"), -1), *[F.when(d, i) for i, d in enumerate(differs)]]
+    marked = both.select("*", F.explode(F.array_compact(F.array(*marks))).alias("_mark"))
+    chosen = lambda value: F.coalesce(F.lit(None).cast("string"), *[F.when(F.col("_mark") == i, value(c)) for i, c in enumerate(columns)])
+    text = lambda side: chosen(lambda c: F.col(f"_{side}_{c}").cast("string"))
+    state = F.to_json(F.struct(*[F.col(f"_old_{c}").alias(c) for c in old.columns]))
+    rows = marked.select(
+        F.coalesce("_new_uid", "_old_uid").alias("uid"), F.when(F.col("_mark") == -2, "INSERT").when(F.col("_mark") == -1, "DELETE").otherwise("UPDATE").alias("operation_type"),
+        chosen(F.lit).alias("column_name"), F.when(F.col("_mark") == -1, state).otherwise(text("old")).alias("old_value"), text("new").alias("new_value"),
+    )
+    return both.select(*[v.alias(c) for c, v in after.items()]), rows
 
 
 def is_marked() -> Column:
