@@ -36,12 +36,13 @@ def vocabulary(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 def canonical_types(edges: DataFrame, canonical: DataFrame, aliases: DataFrame) -> DataFrame:
     """Adds edge_type: the canonical name of relationship_type, directly or by an alias; else null.
 
-    canonical has edge_type, aliases has alias and edge_type; both are small vocabularies.
+    canonical has edge_type, aliases has alias and edge_type; both are small vocabularies, which are sent
+    to the edges, as these have few names and many without one.
     """
     upper = F.replace(F.upper(F.trim("relationship_type")), F.lit("-"), F.lit("_"))
     direct = canonical.select(F.col("edge_type").alias("_direct"))
     known = aliases.select(F.lower("alias").alias("_alias"), F.col("edge_type").alias("_by_alias"))
-    joined = edges.join(direct, upper == F.col("_direct"), "left").join(known, F.lower(F.trim("relationship_type")) == F.col("_alias"), "left")
+    joined = edges.join(F.broadcast(direct), upper == F.col("_direct"), "left").join(F.broadcast(known), F.lower(F.trim("relationship_type")) == F.col("_alias"), "left")
     return joined.withColumn("edge_type", F.coalesce("_direct", "_by_alias")).drop("_direct", "_alias", "_by_alias")
 
 
@@ -52,7 +53,7 @@ def contract_status(edges: DataFrame, canonical: DataFrame, aliases: DataFrame)
     meta = F.col("metadata")
     text = lambda k: nonblank(json_text(meta, k))
     allowed = canonical.select(F.col("edge_type").alias("_stated"))
-    stated = named.join(allowed, text("edge_type") == F.col("_stated"), "left")
+    stated = named.join(F.broadcast(allowed), text("edge_type") == F.col("_stated"), "left")
     evidence = F.from_json(json_text(meta, "evidence_refs"), "array<string>")
     complete = F.col("_stated").isNotNull() & text("source_euid").isNotNull() & text("target_euid").isNotNull() & text("asserted_by_system").isNotNull() & (F.coalesce(F.size(evidence), F.lit(0)) > 0)
     status = F.when(meta.isNotNull() & complete, "canonical").when(meta.isNotNull(), "invalid").when(F.col("edge_type").isNotNull(), "legacy_alias").otherwise("generic")
@@ -75,7 +76,7 @@ def evidence(refs: Column) -> Column:
 
 def creation_guard(edges: DataFrame, canonical: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges that may be created, and those refused: a canonical name needs metadata."""
-    named = edges.join(canonical.select(F.col("edge_type").alias("_strict")), F.col("relationship_type") == F.col("_strict"), "left")
+    named = edges.join(F.broadcast(canonical.select(F.col("edge_type").alias("_strict"))), F.col("relationship_type") == F.col("_strict"), "left")
     refused = F.col("_strict").isNotNull() & F.col("metadata").isNull()
     return named.where(~refused).drop("_strict"), named.where(refused).drop("_strict")
 

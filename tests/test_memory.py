@@ -5,8 +5,10 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import numbering
-from tessera.operators import objects
+from tessera.functions import numbering, packs
+from tessera.operators import audit, contracts, graph, objects
+from tessera.plans import entity
+from tessera.sources.star import model
 
 
 @pytest.fixture
@@ -14,6 +16,17 @@ def small_tasks(monkeypatch):
     monkeypatch.setattr(numbering, "ROWS_A_TASK", 50)
 
 
+@pytest.fixture
+def no_small_tables(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def planned(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
 def optimized(frame):
     return frame._jdf.queryExecution().optimizedPlan().toString()
 
@@ -22,7 +35,6 @@ def written(frame):
     """The most rows of one partition."""
     return max(r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect())
 
-
 # recorded_changes, changed_table
 
 
@@ -41,3 +53,19 @@ def test_both_states_meet_once_in_tasks_of_few_rows(spark, small_tasks):
     table = {r["uid"]: r for r in after.collect()}
     assert len(table) == after.count() == 1000 and [i for i in table if table[i]["is_deleted"]] and {i for i in table if table[i]["is_deleted"]} == {1, 2, 5}
     assert {i for i in table if table[i]["modified_dt"] != day} == {3, 4} and table[4]["name"] == "m"
+
+# edge_contract_status
+
+
+def test_edges_meet_the_vocabulary_where_they_are(spark):
+    edges = spark.createDataFrame([(1, "contains", None), (2, None, "{}"), (3, "x", None)], "uid long, relationship_type string, metadata string")
+    found = contracts.contract_status(edges, *contracts.vocabulary(spark))
+    assert planned(found).count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in planned(found)
+    assert {r["uid"]: r["compliance_status"] for r in found.collect()} == {1: "legacy_alias", 2: "invalid", 3: "generic"}
+
+
+def test_pairs_of_the_lineage_are_told_apart_in_tasks_of_few_rows(spark, sf, small_tasks):
+    (lineage,) = model(spark, sf, "lineage")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert lineage.rdd.getNumPartitions() >= lines // 50
+    assert lineage.where("relationship_type = 'consumes'").count() == spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().count()
