@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, packs, scalars
+from ..functions.numbering import cut, dealt
 from ..model import Scope, live, of_kind, visible_to
 from ..operators import audit, contracts, graph, metrics, outbox, search, stats, templates
 from ..sources.star import NOW, check_sql, euid_sql, model, prelude
@@ -628,17 +629,23 @@ after2 AS (SELECT id, attempts + 1 AS attempts, CASE id % 4 WHEN 0 THEN CASE WHE
 @query("outbox_dispatch_turns", _TURNS + """ SELECT id, 1 AS turn, status, attempts AS attempt_count FROM after1 UNION ALL SELECT id, 2, status, attempts FROM after2
 UNION ALL SELECT id, 3, status, attempts FROM due2 WHERE NOT due AND status IN ('pending', 'failed', 'delivering') UNION ALL SELECT id, 3, status, attempts FROM after2 WHERE status = 'failed'""")
 def outbox_dispatch_turns(spark, d):
-    """Two turns of the dispatch loop an hour apart, and (as turn 3) what waits after them."""
+    """Two turns of the dispatch loop an hour apart, and (as turn 3) what waits after them.
+
+    Tables of a turn are kept, as in the loop: else each is computed again wherever the next one names it,
+    and one task holds the sorts of all their joins.
+    """
     (o,) = model(spark, d, "outbox_event")
-    waiting, turns = None, []
+    state, n = ("id", "status", "attempt_count", "next_attempt_at"), o.count()
+    kept = lambda frame: dealt(cut(frame.select(*state)), n, "id")
+    o, waiting, turns = dealt(o.select(*state), n, "id"), None, []
     for turn, incoming in ((1, o.where("id % 3 <> 0")), (2, o.where("id % 3 = 0"))):
         at = outbox.after(F.lit(NOW).cast("timestamp_ntz"), 3600 * (turn - 1))
-        pool = delivery.pooled(waiting, incoming)
+        pool = kept(delivery.pooled(waiting, incoming)) if waiting is not None else incoming
         claimed = outbox.claimed(outbox.claimable(pool, at), at, f"batch-{turn}")
         kind = F.col("id") % 4
         results = claimed.select("id", F.when(kind == 0, "failed").when(kind == 1, "rejected").otherwise("processed").alias("outcome"), F.when(kind < 2, "no").alias("error"))
-        settled = outbox.settle(claimed, results, at)
-        waiting = delivery.still_waiting(pool, settled)
+        settled = kept(outbox.settle(claimed, results, at))
+        waiting = kept(delivery.still_waiting(pool, settled))
         turns.append(settled.select("id", F.lit(turn).alias("turn"), "status", "attempt_count"))
     return turns[0].unionByName(turns[1]).unionByName(waiting.select("id", F.lit(3).alias("turn"), "status", "attempt_count"))
 

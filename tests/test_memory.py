@@ -69,3 +69,9 @@ def test_pairs_of_the_lineage_are_told_apart_in_tasks_of_few_rows(spark, sf, sma
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert lineage.rdd.getNumPartitions() >= lines // 50
     assert lineage.where("relationship_type = 'consumes'").count() == spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().count()
+
+# outbox_dispatch_turns
+
+
+def test_a_turn_is_not_computed_again_by_the_next(spark, sf, no_small_tables):
+    assert optimized(entity.QUERIES["outbox_dispatch_turns"](spark, sf)).count("Join ") == 0
