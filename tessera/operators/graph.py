@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbering import cut, numbered
+from ..functions.numbering import among, cut, dealt, numbered
 from ..functions.scalars import clean, mermaid_text
 from ..model import live
 
@@ -77,36 +77,35 @@ def newest(walked: DataFrame, instance: DataFrame, limit: int) -> DataFrame:
     return walked.join(instance.select("uid", "euid", "created_dt"), "uid").orderBy(F.col("created_dt").desc(), "uid").limit(limit)
 
 
-def reach(start: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
-    """uid, depth: every node once, at its least distance along the steps (a, b) from the start's uids."""
-    steps = steps.select("a", "b").distinct().persist()
+def reach(start: DataFrame, steps: DataFrame, depth: int, nodes: DataFrame | None = None) -> DataFrame:
+    """uid, depth: every node once, at its least distance along the steps (a, b) from the start's uids;
+    only over ``nodes`` (uid), if given.
+
+    A level reads the steps from its nodes alone, so steps are neither kept nor made distinct.
+    """
     found = frontier = cut(start.select("uid").distinct().withColumn("depth", F.lit(0)))
     for level in range(1, depth + 1):
-        ahead = frontier.join(steps, F.col("uid") == F.col("a")).select(F.col("b").alias("uid")).distinct()
-        frontier = cut(ahead.join(found, "uid", "left_anti").withColumn("depth", F.lit(level)))
+        ahead = among(steps, "a", frontier).select(F.col("b").alias("uid")).distinct().join(found, "uid", "left_anti")
+        if nodes is not None:
+            ahead = among(nodes.select("uid"), "uid", cut(ahead)).distinct()
+        frontier = cut(ahead.withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
-    steps.unpersist()
     return found
 
 
 def neighbourhood(instance: DataFrame, lineage: DataFrame, root: int, depth: int) -> DataFrame:
     """Nodes within a distance in both directions; start, nodes and edges are live."""
     nodes = live(instance).select("uid")
-    edges = live_edges(lineage)
-    for end in ("parent", "child"):
-        edges = edges.join(nodes.withColumnRenamed("uid", end), end, "left_semi")
-    return reach(nodes.where(F.col("uid") == root), doubled(edges), depth)
+    return reach(nodes.where(F.col("uid") == root), doubled(live_edges(lineage)), depth, nodes)
 
 
 def incident_edges(nodes: DataFrame, lineage: DataFrame) -> DataFrame:
     """Live edges with both ends among the nodes, each once."""
-    ids = nodes.select("uid").distinct()
+    ids = cut(nodes.select("uid").distinct())
     edges = live(lineage).select("uid", "parent_instance_uid", "child_instance_uid", "relationship_type")
-    for end in ("parent_instance_uid", "child_instance_uid"):
-        edges = edges.join(ids.withColumnRenamed("uid", end), end, "left_semi")
-    return edges.select("uid", "parent_instance_uid", "child_instance_uid", "relationship_type")
+    return among(among(edges, "parent_instance_uid", ids), "child_instance_uid", ids)
 
 
 def payload_nodes(instance: DataFrame, lineage: DataFrame, root: int, depth: int) -> DataFrame:

@@ -75,3 +75,36 @@ def test_pairs_of_the_lineage_are_told_apart_in_tasks_of_few_rows(spark, sf, sma
 
 def test_a_turn_is_not_computed_again_by_the_next(spark, sf, no_small_tables):
     assert optimized(entity.QUERIES["outbox_dispatch_turns"](spark, sf)).count("Join ") == 0
+
+# graph_payload_nodes, graph_payload_edges, khop, graph_neighbourhood, graph_neighbourhood_edges
+
+
+def brute(edges, start, depth):
+    found, near = {start: 0}, {start}
+    for level in range(1, depth + 1):
+        near = {b for a, b in edges if a in near} - set(found)
+        found |= dict.fromkeys(near, level)
+    return found
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_searches_keep_no_edges(spark, monkeypatch, no_small_tables, few):
+    monkeypatch.setattr(numbering, "FEW", few)
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda *_: pytest.fail("edges are kept"))
+    pairs = [(i, (i * i + 3) % 40) for i in range(40)] + [(i, i // 3) for i in range(40)]
+    lineage = spark.createDataFrame([(n, p, c, "r", n % 9 == 0) for n, (p, c) in enumerate(pairs)], "uid long, parent_instance_uid long, child_instance_uid long, relationship_type string, is_deleted boolean")
+    instance = spark.createDataFrame([(i, i % 7 == 0) for i in range(38)], "uid long, is_deleted boolean")
+    live = [pair for n, pair in enumerate(pairs) if n % 9]
+    both = live + [(c, p) for p, c in live]
+    table = lambda frame: {r["uid"]: r["depth"] for r in frame.collect()}
+    nodes = graph.payload_nodes(instance, lineage, 5, 3)
+    assert table(nodes) == brute(both, 5, 3) and nodes.count() == len(brute(both, 5, 3))
+    shown = lambda i: i % 7 and i < 38
+    assert table(graph.neighbourhood(instance, lineage, 5, 3)) == brute([(a, b) for a, b in both if shown(a) and shown(b)], 5, 3)
+    assert table(graph.neighbourhood(instance, lineage, 7, 3)) == {}
+    edges = graph.payload_edges(nodes, lineage, 2)
+    inner = {i for i, d in brute(both, 5, 3).items() if d < 2}
+    assert sorted(r["uid"] for r in edges.collect()) == [n for n, (p, c) in enumerate(pairs) if n % 9 and (p in inner or c in inner)]
+    inside = graph.incident_edges(nodes, lineage)
+    assert sorted(r["uid"] for r in inside.collect()) == [n for n, (p, c) in enumerate(pairs) if n % 9 and {p, c} <= set(brute(both, 5, 3))]
+    assert ("SortMergeJoin" in planned(inside)) == (few == 0)
