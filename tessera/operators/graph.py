@@ -118,9 +118,9 @@ def payload_edges(nodes: DataFrame, lineage: DataFrame, depth: int) -> DataFrame
 
     source is the child and target the parent; the semantic ends are the other way round.
     """
-    inner = nodes.where(F.col("depth") < depth).select("uid").distinct()
+    inner = cut(nodes.where(F.col("depth") < depth).select("uid").distinct())
     edges = live(lineage).select("uid", "parent_instance_uid", "child_instance_uid", "relationship_type")
-    parts = [edges.join(inner.withColumnRenamed("uid", end), end, "left_semi").select(*edges.columns) for end in ("parent_instance_uid", "child_instance_uid")]
+    parts = [among(edges, end, inner) for end in ("parent_instance_uid", "child_instance_uid")]
     both = parts[0].unionByName(parts[1]).distinct()
     return both.select("uid", F.col("child_instance_uid").alias("source"), F.col("parent_instance_uid").alias("target"), F.col("parent_instance_uid").alias("semantic_source"), F.col("child_instance_uid").alias("semantic_target"), "relationship_type")
 
