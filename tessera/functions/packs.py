@@ -24,5 +24,10 @@ def _codes(c: Column) -> Column:
 
 def extracted_refs(json: Column) -> Column:
     """The template codes that a template's JSON names, at its top level and in its json_addl; repeats stay."""
-    top, nested = F.from_json(json, REFERRING), F.from_json(F.coalesce(F.get_json_object(json, "$.json_addl"), F.lit("{}")), REFERRING)
-    return F.array_compact(F.concat(_codes(top), _codes(nested)))
+
+    def refs(text: Column) -> Column:
+        levels = F.array(F.from_json(text, REFERRING), F.from_json(F.coalesce(F.get_json_object(text, "$.json_addl"), F.lit("{}")), REFERRING))
+        return F.flatten(F.transform(levels, _codes))
+
+    # A lambda's variable is computed once; a plain expression would be parsed again wherever _codes names it.
+    return F.array_compact(F.flatten(F.transform(F.array(json), refs)))

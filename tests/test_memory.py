@@ -54,6 +54,17 @@ def test_both_states_meet_once_in_tasks_of_few_rows(spark, small_tasks):
     assert len(table) == after.count() == 1000 and [i for i in table if table[i]["is_deleted"]] and {i for i in table if table[i]["is_deleted"]} == {1, 2, 5}
     assert {i for i in table if table[i]["modified_dt"] != day} == {3, 4} and table[4]["name"] == "m"
 
+# template_references
+
+
+def test_a_template_s_json_is_parsed_once_in_many_tasks(spark, sf, small_tasks):
+    json = '{"expected_inputs": ["a/b/c/1"], "action_imports": {"x": "d/e/f/1", "y": {"actions": {"g/h/i/1": {}}}}, "json_addl": {"expected_outputs": ["j/k/l/1"]}}'
+    rows = spark.createDataFrame([(json,), ("{}",), (None,)], "json string").select(packs.extracted_refs(F.col("json")).alias("refs"))
+    assert optimized(rows).count("from_json") <= 2
+    assert [r["refs"] for r in rows.collect()] == [["d/e/f/1", "g/h/i/1", "a/b/c/1", "j/k/l/1"], [], []]
+    parts = spark.read.parquet(f"{sf}/part.parquet").count()
+    assert entity.QUERIES["template_references"](spark, sf).rdd.getNumPartitions() >= min(4, parts // 50)
+
 # edge_contract_status
 
 
