@@ -176,8 +176,9 @@ def induced(nodes: DataFrame, edges: DataFrame, hidden: list[str]) -> DataFrame:
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """uid, degree over the edges given; nodes without edges have 0."""
-    ends = doubled(edges).groupBy(F.col("a").alias("uid")).agg(F.count("*").alias("degree"))
-    return nodes.select("uid").join(ends, "uid", "left").fillna(0, ["degree"])
+    n = nodes.count()
+    ends = dealt(doubled(edges).select(F.col("a").alias("uid")), n, "uid").groupBy("uid").agg(F.count("*").alias("degree"))
+    return dealt(nodes.select("uid"), n, "uid").join(ends, "uid", "left").fillna(0, ["degree"])
 
 
 def graph_search(nodes: DataFrame, query: str) -> DataFrame:

@@ -119,3 +119,13 @@ def test_searches_keep_no_edges(spark, monkeypatch, no_small_tables, few):
     inside = graph.incident_edges(nodes, lineage)
     assert sorted(r["uid"] for r in inside.collect()) == [n for n, (p, c) in enumerate(pairs) if n % 9 and {p, c} <= set(brute(both, 5, 3))]
     assert ("SortMergeJoin" in planned(inside)) == (few == 0)
+
+# low_degree_nodes
+
+
+def test_degrees_are_counted_in_tasks_of_few_nodes(spark, small_tasks):
+    nodes = spark.range(2000).withColumnRenamed("id", "uid")
+    edges = spark.range(1, 2000).select(F.col("id").alias("parent"), F.lit(0).cast("long").alias("child"), F.lit("r").alias("relationship_type"))
+    found = graph.degrees(nodes, edges)
+    assert found.rdd.getNumPartitions() >= 2000 // 50
+    assert {r["uid"]: r["degree"] for r in found.where("uid < 3").collect()} == {0: 1999, 1: 1, 2: 1} and found.count() == 2000
