@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import among, cut
 from ..functions.scalars import clean
 from ..model import Scope, live
 
@@ -29,7 +30,8 @@ def trail(audit: DataFrame, template: DataFrame, instance: DataFrame, lineage: D
 def query_trail(audit: DataFrame, template: DataFrame, instance: DataFrame, lineage: DataFrame, *, changed_by: str | None = None, euid: str | None = None, since: Column | None = None, scope: Scope = Scope(), limit: int = 500, descending: bool = True, compat: bool = False) -> DataFrame:  # noqa: B008
     """Filtered audit trail in the order of change, at most ``limit`` rows; matches are exact.
 
-    The rows are chosen before the joins, so only ``limit`` of them meet the other tables.
+    The rows are chosen before the joins, so only ``limit`` of them meet the other tables, and of those
+    only the rows that they are about.
     """
     rows = scope.of(audit)
     for column, value in (("changed_by", changed_by), ("rel_table_euid_fk", euid)):
@@ -38,7 +40,9 @@ def query_trail(audit: DataFrame, template: DataFrame, instance: DataFrame, line
     if since is not None:
         rows = rows.where(F.col("changed_at") >= since)
     order = [F.col("changed_at").desc() if descending else F.col("changed_at").asc(), F.col("uid").asc()]
-    return trail(rows.orderBy(*order).limit(limit), template, instance, lineage, compat).orderBy(*order)
+    rows = cut(rows.orderBy(*order).limit(limit))
+    about = rows.select(F.col("rel_table_uid_fk").alias("uid")).distinct()
+    return trail(rows, *[among(t, "uid", about) for t in (template, instance, lineage)], compat).orderBy(*order)
 
 
 def object_audit(audit: DataFrame, euid: str, operation: str | None = None, limit: int = 100) -> DataFrame:

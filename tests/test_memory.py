@@ -35,6 +35,7 @@ def written(frame):
     """The most rows of one partition."""
     return max(r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect())
 
+
 # recorded_changes, changed_table
 
 
@@ -54,6 +55,7 @@ def test_both_states_meet_once_in_tasks_of_few_rows(spark, small_tasks):
     assert len(table) == after.count() == 1000 and [i for i in table if table[i]["is_deleted"]] and {i for i in table if table[i]["is_deleted"]} == {1, 2, 5}
     assert {i for i in table if table[i]["modified_dt"] != day} == {3, 4} and table[4]["name"] == "m"
 
+
 # template_references
 
 
@@ -65,6 +67,7 @@ def test_a_template_s_json_is_parsed_once_in_many_tasks(spark, sf, small_tasks):
     parts = spark.read.parquet(f"{sf}/part.parquet").count()
     assert entity.QUERIES["template_references"](spark, sf).rdd.getNumPartitions() >= min(4, parts // 50)
 
+
 # edge_contract_status
 
 
@@ -81,12 +84,14 @@ def test_pairs_of_the_lineage_are_told_apart_in_tasks_of_few_rows(spark, sf, sma
     assert lineage.rdd.getNumPartitions() >= lines // 50
     assert lineage.where("relationship_type = 'consumes'").count() == spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().count()
 
+
 # outbox_dispatch_turns
 
 
 def test_a_turn_is_not_computed_again_by_the_next(spark, sf, no_small_tables):
     assert optimized(entity.QUERIES["outbox_dispatch_turns"](spark, sf)).count("Join ") == 0
 
+
 # graph_payload_nodes, graph_payload_edges, khop, graph_neighbourhood, graph_neighbourhood_edges
 
 
@@ -120,6 +125,7 @@ def test_searches_keep_no_edges(spark, monkeypatch, no_small_tables, few):
     assert sorted(r["uid"] for r in inside.collect()) == [n for n, (p, c) in enumerate(pairs) if n % 9 and {p, c} <= set(brute(both, 5, 3))]
     assert ("SortMergeJoin" in planned(inside)) == (few == 0)
 
+
 # low_degree_nodes
 
 
@@ -129,3 +135,13 @@ def test_degrees_are_counted_in_tasks_of_few_nodes(spark, small_tasks):
     found = graph.degrees(nodes, edges)
     assert found.rdd.getNumPartitions() >= 2000 // 50
     assert {r["uid"]: r["degree"] for r in found.where("uid < 3").collect()} == {0: 1999, 1: 1, 2: 1} and found.count() == 2000
+
+
+# audit_trail_compat
+
+
+def test_a_trail_reads_only_rows_it_is_about(spark, sf, no_small_tables):
+    t, i, e, a = model(spark, sf, "template", "instance", "lineage", "audit_log")
+    for compat in (False, True):
+        found = audit.query_trail(a, t, i, e, changed_by="User7", compat=compat)
+        assert optimized(found).count("LeftSemi") >= 3 and planned(found).count("LeftSemi, BuildRight") >= 3
