@@ -7,6 +7,7 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,20 +44,36 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session has these settings for a while, and then its own again."""
+    own = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in own.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Tables:
     """Intermediate tables in the shared folder.
 
     ``keep`` writes a frame once and reads it back, which cuts the lineage and survives the loss
-    of executors. ``drop`` deletes a table as soon as nothing reads it any more.
+    of executors; ``values`` are settings that hold for this. ``drop`` deletes a table as soon as
+    nothing reads it any more.
     """
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
+    def __init__(self, spark: SparkSession, name: str, values: dict[str, str] | None = None) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.values = values or {}
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        frame.write.mode("overwrite").parquet(path)
+        with settings(self.spark, self.values):
+            frame.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def release(self) -> None:

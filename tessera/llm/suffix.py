@@ -16,7 +16,8 @@ This departs from the plain form in three points, for the volume of its shuffles
 25 bytes, are fingerprints and not places in a sorted list; one doubling follows; and most positions
 are settled by their anchor's surroundings, without it. Rows travel packed into arrays, of which a
 task sorts those of one shard in memory. Shards are as many as the bytes of all texts ask for, so a
-shard's memory doesn't grow with the corpus.
+shard's memory doesn't grow with the corpus. Texts, rows and results pass the workers in small
+batches, as a long run leaves a worker and Arrow little beside a heap that is in full use.
 
 Equal rows are combined in each task before they are dealt, and ranks with many different
 surroundings are dealt by surroundings, so a passage that stands in many documents doesn't meet in
@@ -29,7 +30,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +40,18 @@ from .shared import Tables, partitions, ship
 #: Bytes of a repeat, and of the first ranks; a window has LENGTH - HALF + 1 of these.
 LENGTH, HALF = 50, 25
 #: Bytes that are ranked at a time, and rows that are combined before they are dealt.
-PIECE, COMBINED = 1 << 20, 400_000
-#: Bytes of text whose anchors fill a shard (one in 13, about 100 bytes each while they are sorted).
-SHARD_BYTES = 32 << 20
+PIECE, COMBINED = 1 << 18, 400_000
+#: Bytes of text whose anchors fill a shard (one in 13, about 150 bytes each while they are sorted).
+SHARD_BYTES = 8 << 20
+#: Rows of texts that are Python objects at a time, and of results in a batch.
+SLICE, RESULTS = 256, 1 << 16
+#: While a table is written: batches of a bounded size, and shuffle files that go as soon as it stands,
+#: not when the driver's JVM comes upon them (with many tasks that was after the next shuffles).
+WRITING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 _random = np.random.default_rng(50_25)
 _BYTES = _random.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -144,36 +153,56 @@ def _settle(one: np.ndarray, two: np.ndarray, docs: np.ndarray) -> tuple[np.ndar
     return order, new, docs[order] > least
 
 
-#: Columns of a dealt row: each holds an array in binary form.
-KINDS = {"one": np.uint64, "two": np.uint64, "doc": np.int64, "variant": np.int64, "low": np.int32, "more": np.uint8, "mark": np.uint8}
+#: Columns of an anchor or window; a dealt row holds some of them as one array, byte by byte.
+KINDS = {k: np.dtype(v) for k, v in {"one": "u8", "two": "u8", "doc": "i8", "variant": "i8", "low": "i4", "more": "u1", "mark": "u1"}.items()}
+WIDTH = sum(kind.itemsize for kind in KINDS.values())
 #: Routes: dealt by the first key, dealt by both, and rows that are decided already.
 BY_ONE, BY_BOTH, DECIDED = 0, 1, 2
-DEALT = "shard int, route int, " + ", ".join(f"{k} binary" for k in KINDS)
-
-
-def _packed(values: np.ndarray) -> bytes:
-    """An array's first bytes, then its second ones and so on: the high ones compress to next to nothing."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
-
-
-def _unpacked(blobs: pd.Series, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.concatenate([np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel() for b in blobs])
-
-
-def _deal(rows: dict[str, np.ndarray], shard: np.ndarray, route: int) -> pa.RecordBatch:
+DEALT = "shard int, route int, held binary"
+
+
+def _packed(rows: dict[str, np.ndarray], order: np.ndarray) -> np.ndarray:
+    """The columns' first bytes, second ones and so on as WIDTH lines: the high ones compress to next to nothing."""
+    out, at = np.empty((WIDTH, len(order)), np.uint8), 0
+    for k, kind in KINDS.items():
+        out[at : at + kind.itemsize] = rows[k][order].view(np.uint8).reshape(-1, kind.itemsize).T
+        at += kind.itemsize
+    return out
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[int, dict[str, np.ndarray]]:
+    """The route and the columns of a group."""
+    route, parts = DECIDED, []
+    for batch in batches:
+        route = batch.column("route")[0].as_py()
+        parts += [np.frombuffer(x.as_buffer(), np.uint8).reshape(WIDTH, -1) for x in batch.column("held")]
+    whole, at, rows = np.concatenate(parts, axis=1), 0, {}
+    parts.clear()
+    for k, kind in KINDS.items():
+        rows[k] = np.ascontiguousarray(whole[at : at + kind.itemsize].T).view(kind).ravel()
+        at += kind.itemsize
+    return route, rows
+
+
+def _deal(rows: dict[str, np.ndarray], chosen: np.ndarray, shard: np.ndarray, route: int) -> pa.RecordBatch:
+    """The chosen rows as one array for each shard."""
+    at = np.flatnonzero(chosen)
+    shard = shard[at]
     order = np.argsort(shard, kind="stable")
-    shard = shard[order]
+    shard, held = shard[order], _packed(rows, at[order])
     cuts = np.append(np.flatnonzero(_groups(shard)), len(shard))
-    made = {k: np.ascontiguousarray(rows[k][order].astype(kind)) for k, kind in KINDS.items()}
-    blobs = [pa.array([_packed(made[k][a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for k in KINDS]
-    return pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]], pa.int32()), pa.array(np.full(len(cuts) - 1, route), pa.int32()), *blobs], names=["shard", "route", *KINDS])
+    flat = np.empty(held.size, np.uint8)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        flat[WIDTH * a : WIDTH * b].reshape(WIDTH, -1)[:] = held[:, a:b]
+    arrays = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * WIDTH).astype(np.int32)), pa.py_buffer(flat)])
+    return pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]], pa.int32()), pa.array(np.full(len(cuts) - 1, route), pa.int32()), arrays], names=["shard", "route", "held"])
 
 
 def _combined(rows: dict[str, np.ndarray], shards: int, by_first: bool) -> Iterator[pa.RecordBatch]:
     """Combines a task's rows and deals what is left."""
     order, new, covered = _settle(rows["one"], rows["two"], rows["doc"])
-    rows = {k: v[order] for k, v in rows.items()}
+    for k in KINDS:
+        rows[k] = rows[k][order]
     group = np.cumsum(new)
     if by_first:
         first = _groups(rows["one"])
@@ -184,7 +213,7 @@ def _combined(rows: dict[str, np.ndarray], shards: int, by_first: bool) -> Itera
         rows["mark"] = many.astype(np.uint8)
     else:
         leader = np.zeros(len(group), dtype=bool)
-    deal = lambda chosen, shard, route: _deal({k: v[chosen] for k, v in rows.items()}, (shard % np.uint64(shards)).astype(np.int32)[chosen], route)
+    deal = lambda chosen, key, route: _deal(rows, chosen, (key % np.uint64(shards)).astype(np.int32), route)
     if (~covered & leader).any():
         yield deal(~covered & leader, rows["one"], BY_ONE)
     if (~covered & ~leader).any():
@@ -195,26 +224,41 @@ def _combined(rows: dict[str, np.ndarray], shards: int, by_first: bool) -> Itera
 
 def _gathered(parts: Iterator[dict[str, np.ndarray]], shards: int, by_first: bool) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
+
+    def taken() -> dict[str, np.ndarray]:
+        rows = {k: np.concatenate([x.pop(k) for x in held]).astype(kind, copy=False) for k, kind in KINDS.items()}
+        held.clear()
+        return rows
+
     for part in parts:
         held.append(part)
         size += len(part["one"])
         if size >= COMBINED:
-            yield from _combined({k: np.concatenate([x[k] for x in held]) for k in KINDS}, shards, by_first)
-            held, size = [], 0
+            yield from _combined(taken(), shards, by_first)
+            size = 0
     if size:
-        yield from _combined({k: np.concatenate([x[k] for x in held]) for k in KINDS}, shards, by_first)
+        yield from _combined(taken(), shards, by_first)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """Rows of some columns as Python objects, of which few exist at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            yield from zip(*[part.column(c).to_pylist() for c in columns], strict=True)
 
 
 def deal_anchors(docs: DataFrame, shards: int) -> DataFrame:
     """The anchors of all texts, combined in each task, dealt by rank."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        for pieces in _pieces(x for b in batches for x in zip(*[b.column(c).to_pylist() for c in ("doc_id", "variant", "text")], strict=True)):
+        for pieces in _pieces(_rows(batches, "doc_id", "variant", "text")):
             cuts = np.cumsum([0, *[len(p[-1]) for p in pieces]])
             rank, around, low, more = anchors(b"".join(p[-1] for p in pieces), list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)))
             which = np.searchsorted(cuts, low, side="right") - 1
             ids, variants, offsets = (np.array([p[k] for p in pieces], dtype=np.int64) for k in range(3))
-            yield {"one": rank, "two": around, "doc": ids[which], "variant": variants[which], "low": low - cuts[which] + offsets[which], "more": more, "mark": np.zeros(len(low), np.uint8)}
+            low = (low - cuts[which] + offsets[which]).astype(np.int32)
+            yield {"one": rank, "two": around, "doc": ids[which], "variant": variants[which], "low": low, "more": more.astype(np.uint8), "mark": np.zeros(len(low), np.uint8)}
 
     return docs.mapInArrow(lambda batches: _gathered(parts(batches), shards, True), DEALT)
 
@@ -223,14 +267,18 @@ def deal_windows(docs: DataFrame, shards: int) -> DataFrame:
     """The rank pairs of the windows in ``open`` (low, more) of each text, combined in each task, dealt by pair."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        for batch in batches:
-            for doc_id, variant, text, low, more in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "variant", "text", "low", "more")], strict=True):
-                ranked = Ranked(text.encode())
-                low, more = np.array(low, dtype=np.int64), np.array(more, dtype=np.int64)
-                count = more + 1
-                at = np.unique(np.repeat(low - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum()))
+        for doc_id, variant, text, low, more in _rows(batches, "doc_id", "variant", "text", "low", "more"):
+            data = text.encode()
+            low, more = np.array(low, dtype=np.int64), np.array(more, dtype=np.int64)
+            count = more + 1
+            every = np.unique(np.repeat(low - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum()))
+            for start in range(0, len(data) - LENGTH + 1, PIECE):
+                at = every[slice(*np.searchsorted(every, (start, start + PIECE)))]
+                if not len(at):
+                    continue
+                ranked, place = Ranked(data[start : start + PIECE + LENGTH - 1]), at - start
                 none = np.zeros(len(at), np.uint8)
-                yield {"one": ranked.of(at, at + HALF), "two": ranked.of(at + HALF, at + LENGTH), "doc": np.full(len(at), doc_id, np.int64), "variant": np.full(len(at), variant, np.int64), "low": at, "more": none, "mark": none}
+                yield {"one": ranked.of(place, place + HALF), "two": ranked.of(place + HALF, place + LENGTH), "doc": np.full(len(at), doc_id, np.int64), "variant": np.full(len(at), variant, np.int64), "low": at.astype(np.int32), "more": none, "mark": none}
 
     return docs.mapInArrow(lambda batches: _gathered(parts(batches), shards, False), DEALT)
 
@@ -239,23 +287,24 @@ def decide(dealt: DataFrame) -> DataFrame:
     """doc_id, variant, covered, low, more: for dealt rows, whether a smaller document has the same bytes; rows
     that are still open only if their rank has other surroundings somewhere."""
 
-    def decided(rows: pd.DataFrame) -> pd.DataFrame:
-        x = {k: _unpacked(rows[k], kind) for k, kind in KINDS.items()}
-        route = rows["route"].iloc[0]
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        route, x = _unpacked(batches)
         if route == DECIDED:
-            return pd.DataFrame({"doc_id": x["doc"], "variant": x["variant"], "covered": True, "low": x["low"], "more": x["more"].astype(np.int32)})
-        order, new, covered = _settle(x["one"], x["two"], x["doc"])
-        x = {k: v[order] for k, v in x.items()}
-        wanted = np.ones(len(order), dtype=bool)
-        if route == BY_ONE:
-            first = _groups(x["one"])
-            starts = np.flatnonzero(first)
-            sizes = np.diff(np.append(starts, len(order)))
-            several = np.add.reduceat(new.astype(np.int64), starts) > 1
-            wanted = covered | np.repeat(several | (np.maximum.reduceat(x["mark"], starts) > 0), sizes)
-        return pd.DataFrame({"doc_id": x["doc"], "variant": x["variant"], "covered": covered, "low": x["low"], "more": x["more"].astype(np.int32)})[wanted]
-
-    return dealt.groupBy("shard", "route").applyInPandas(decided, "doc_id long, variant long, covered boolean, low int, more int")
+            order, covered = np.arange(len(x["doc"])), np.ones(len(x["doc"]), dtype=bool)
+        else:
+            order, new, covered = _settle(x["one"], x.pop("two"), x["doc"])
+            if route == BY_ONE:
+                first = _groups(x["one"][order])
+                starts = np.flatnonzero(first)
+                sizes = np.diff(np.append(starts, len(order)))
+                several = np.add.reduceat(new.astype(np.int64), starts) > 1
+                wanted = covered | np.repeat(several | (np.maximum.reduceat(x["mark"][order], starts) > 0), sizes)
+                order, covered = order[wanted], covered[wanted]
+        for at in range(0, len(order), RESULTS):
+            k = order[at : at + RESULTS]
+            yield pa.RecordBatch.from_arrays([pa.array(x["doc"][k]), pa.array(x["variant"][k]), pa.array(covered[at : at + RESULTS]), pa.array(x["low"][k]), pa.array(x["more"][k].astype(np.int32))], names=["doc_id", "variant", "covered", "low", "more"])
+
+    return dealt.groupBy("shard", "route").applyInArrow(decided, "doc_id long, variant long, covered boolean, low int, more int")
 
 
 def with_variants(docs: DataFrame, tables: Tables) -> tuple[DataFrame, int]:
@@ -280,10 +329,8 @@ def find_repeats(docs: DataFrame, tables: Tables, n_bytes: int) -> DataFrame:
     key = ["doc_id", "variant"]
     long = docs.where(F.octet_length("text") >= LENGTH)
     anchored = tables.keep(decide(deal_anchors(long, shards)), "anchors")
-    tables.release()
     still = anchored.where(~F.col("covered")).groupBy(*key).agg(F.collect_list("low").alias("low"), F.collect_list("more").alias("more"))
     windows = tables.keep(decide(deal_windows(long.join(still, key).select(*key, "text", "low", "more"), shards)).where("covered").select(*key, "low"), "windows")
-    tables.release()
     return (
         anchored.where("covered").select(*key, "low", (F.col("low") + F.col("more") + LENGTH).alias("high"))
         .unionByName(windows.select(*key, "low", (F.col("low") + LENGTH).alias("high")))
@@ -312,12 +359,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ignored.
     """
     spark = ship(docs.sparkSession)
-    tables = Tables(spark, "suffix")
+    tables = Tables(spark, "suffix", WRITING)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs, n_bytes = with_variants(docs, tables)
     ranges = find_repeats(docs.where("doc_id is not null"), tables, n_bytes)
     by_doc = tables.keep(ranges.groupBy("doc_id", "variant").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")), "ranges")
-    tables.release()
     tables.drop("anchors", "windows", "sizes")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,14 +3,19 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import chat, dealing, mixing, mpeg, neardup, pii, quality, queries, sentpiece, suffix, toxicity, urlfilter
+from tessera.llm.shared import Tables
 
 from .helpers import DOCS, frame, near_components, odd_rows, oracle, row, same, sentence, shingles
 
@@ -238,6 +243,62 @@ def test_repeats_of_rows_that_share_a_doc_id(spark, monkeypatch):
     )
 
 
+class _Called:
+    """Takes a worker's function in Spark's place."""
+
+    def groupBy(self, *keys):
+        return self
+
+    def mapInArrow(self, function, schema):
+        return function
+
+    applyInArrow = mapInArrow
+
+
+def _peak(call):
+    tracemalloc.start()
+    try:
+        out = call()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_repeats_take_little_of_a_worker():
+    rng = np.random.default_rng(5)
+    texts = [bytes(x).decode() for x in rng.integers(97, 123, (2000, 4000), dtype=np.uint8)]
+    texts[7] = texts[3][:2000] + texts[7]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array([0] * 2000, pa.int64()), pa.array(texts)], names=["doc_id", "variant", "text"])
+    dealt, peak = _peak(lambda: list(suffix.deal_anchors(_Called(), 2)(iter([batch]))))
+    assert peak < 120, peak  # MB for 8 MB of text; 157 with pieces of 1 MB and rows that are copied when they are dealt
+    groups = {}
+    for whole in dealt:
+        for k in range(whole.num_rows):
+            groups.setdefault((whole.column("shard")[k].as_py(), whole.column("route")[k].as_py()), []).append(whole.slice(k, 1))
+    found = []
+    for parts in groups.values():
+        out, peak = _peak(lambda parts=parts: list(suffix.decide(_Called())(iter(parts))))
+        assert peak < 60 and all(x.num_rows <= suffix.RESULTS for x in out), peak
+        found += [r for x in out for r in x.to_pylist()]
+    covered = [(r["low"], r["low"] + r["more"]) for r in found if r["covered"] and r["doc_id"] == 7]
+    assert {r["doc_id"] for r in found if r["covered"]} == {7} and max(high for _, high in covered) <= 1950
+
+
+def test_repeats_leave_no_shuffle_behind(spark):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for k in range(files.size()) if (n := files.apply(k).getName()).startswith("shuffle_")}
+
+    own, before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), shuffled()
+    tables = Tables(spark, "left", suffix.WRITING)
+    kept = tables.keep(spark.range(5000).groupBy((F.col("id") % 50).alias("k")).agg(F.collect_list("id").alias("ids")), "groups")
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and kept.count() == 50
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == own
+
+
 # 5 media
 
 
